@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from joinlab.llm import exact_dedup, mpeg_audio, url_filter
+from joinlab.llm import exact_dedup, mpeg_audio, rule_ensemble, url_filter
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_quality_rules": rule_ensemble.op9_quality_rules,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
