@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from joinlab.llm import exact_dedup, mpeg_audio, rule_ensemble, url_filter
+from joinlab.llm import exact_dedup, mixing, mpeg_audio, rule_ensemble, url_filter
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": rule_ensemble.op9_quality_rules,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
 }
