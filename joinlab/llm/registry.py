@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from joinlab.llm import exact_dedup, mixing, mpeg_audio, rule_ensemble, simhash, url_filter
+from joinlab.llm import exact_dedup, mixing, mpeg_audio, packing, rule_ensemble, simhash, url_filter
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_pack_on_curve": packing.op6_pack_on_curve,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": rule_ensemble.op9_quality_rules,
