@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from joinlab.llm import exact_dedup, mixing, mpeg_audio, packing, rule_ensemble, simhash, url_filter
+from joinlab.llm import (
+    exact_dedup,
+    mixing,
+    mpeg_audio,
+    packing,
+    rule_ensemble,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
@@ -12,6 +21,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": rule_ensemble.op9_quality_rules,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
