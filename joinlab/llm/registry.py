@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from joinlab.llm import (
     exact_dedup,
+    license_scan,
     mixing,
     mpeg_audio,
     packing,
@@ -15,6 +16,7 @@ from joinlab.llm import (
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_pack_on_curve": packing.op6_pack_on_curve,
