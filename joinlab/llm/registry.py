@@ -5,6 +5,7 @@ from __future__ import annotations
 from joinlab.llm import (
     exact_dedup,
     license_scan,
+    line_dedup,
     mixing,
     mpeg_audio,
     packing,
@@ -16,6 +17,7 @@ from joinlab.llm import (
 
 QUERIES = {
     "op1_media_columns": mpeg_audio.op1_media_columns,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
