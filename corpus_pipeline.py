@@ -1,12 +1,63 @@
-"""A corpus pipeline of five stages; each writes Parquet that the next one reads."""
+"""A corpus pipeline of five stages; each works on all that the one before kept and is written as Parquet.
+
+Stages but the last return the columns of ``documents``. SQL cannot express the classifier, the fingerprints or the
+tokenizer, so ORACLE_SQL is None and tests hold each stage against a plain version.
+
+Ids are expected to be unique; rows with one id share the fate that stages 1, 3 and 4 give to the id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from joinlab.llm import exact_dedup, mixing, packing, rule_ensemble, simhash
+from joinlab.llm.common import store, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    scores = rule_ensemble.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    rejected = store(scores.where("predicted = 0").select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays, the one with the largest id."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    rows = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    once = W.partitionBy("doc_id", "sha").orderBy("n_chars")
+    return rows.withColumn("copy", F.row_number().over(once)).where("copy = 1").select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it; the one where a source's target ends counts as whole if at
+    least half of it is taken. Rows of an output shard lie together in a random order."""
+    takes = mixing.mix(docs).select(F.col("doc_id").alias("k_id"), "size", F.explode("takes").alias("take")).where("2 * take.words >= size")
+    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("k_id")))
+    shuffled = rows.repartition("take.shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("take.shard", F.xxhash64("doc_id", "take.pass"))
+    return shuffled.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: the columns of packing.PIECES."""
+    return packing.pack(docs)
+
 
-STAGES = []
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing sources", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
