@@ -27,11 +27,11 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 def _slots(mixed: np.ndarray, segments: int, length: int) -> np.ndarray:
     first = ((mixed >> _U(32)) * _U(segments)) >> _U(32)
     mask = _U(length - 1)
-    low = mixed & _U(0xFFFFFFFF)
+    more = (mixed ^ (mixed >> _U(17))) * _U(0x9E3779B97F4A7C15)  # the three places need bits of their own
     base = first * _U(length)
-    a = base + (low & mask)
-    b = base + _U(length) + ((low * _U(0x9E3779B1) >> _U(7)) & mask)
-    c = base + _U(2 * length) + ((low * _U(0x85EBCA77) >> _U(11)) & mask)
+    a = base + (mixed & mask)
+    b = base + _U(length) + ((more >> _U(44)) & mask)
+    c = base + _U(2 * length) + ((more >> _U(22)) & mask)
     return np.stack([a, b, c]).astype(np.int64)
 
 
