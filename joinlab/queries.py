@@ -10,12 +10,13 @@ from joinlab.plans.explain_import import import_plan
 from joinlab.plans.plan import Plan
 from joinlab.plans.sql_subset import parse, run_sql
 from joinlab.sources import files
+from joinlab.sources.catalog import parquet_table
 
 QUERIES, ORACLES = {}, {}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return parquet_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _query(name: str, oracle: str):

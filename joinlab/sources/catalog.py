@@ -55,3 +55,11 @@ class Catalog:
 
     def columns(self) -> dict[str, list[str]]:
         return {name: df.columns for name, df in self.tables.items()}
+
+
+def parquet_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose footers are read once a session: later reads name the schema found then."""
+    known = spark.__dict__.setdefault("_joinlab_schemas", {})
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    return spark.read.schema(known[path]).parquet(path)
