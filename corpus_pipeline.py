@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from joinlab.llm import exact_dedup, mixing, packing, rule_ensemble, simhash
-from joinlab.llm.common import store, table
+from joinlab.llm.common import partitions, store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least half of it is taken. Rows of an output shard lie together in a random order."""
     takes = mixing.mix(docs).select(F.col("doc_id").alias("k_id"), "size", F.explode("takes").alias("take")).where("2 * take.words >= size")
     rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("k_id")))
-    shuffled = rows.repartition("take.shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("take.shard", F.xxhash64("doc_id", "take.pass"))
+    slices = max(8, partitions(spark) // mixing.SHARDS)  # slices of a shard, so that partitions stay small at any size
+    shuffled = rows.repartition("take.shard", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("take.shard", F.xxhash64("doc_id", "take.pass"))
     return shuffled.select(docs.columns)
 
 
