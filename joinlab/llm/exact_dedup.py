@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", incomi
     # The digest filter runs as a shuffled hash join whose build side is the short digest list.
     texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
     same = texts.join(repeated.hint("shuffle_hash"), "digest").groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = same.select("digest", "keep_id", "group_size")
+    # Stored, so that the join below has an exchange on both sides and a hot digest can be split.
+    same = store(same.select("digest", "keep_id", "group_size"), "groups")
     # Copies with one id collapse to one row with a count, so exactly one of them can be the kept one.
     each = rows.groupBy("id", "digest").agg(F.count("*").alias("copies")).join(same, "digest", "left")
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
