@@ -1,99 +1,214 @@
-"""Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
+"""Line dedup: an exact set-similarity join over lines.
 
 A line's tokens are its distinct words, A-Z lower-cased. Words hash to 64 bits; the low bits name one of
-``RANKS`` buckets, whose frequencies over all lines are counted (a table of fixed size), and a token's key is the
+``BUCKETS`` buckets, whose frequencies over all lines are counted (a table of fixed size), and a token's key is the
 rank of its bucket, rare first, before the rest of its hash. Keys order every line's tokens by rarity in one global
 order. Lines with equal token sets collapse first. Each distinct set then gives its prefix, the first
-``n - ceil(t n) + 1`` tokens; sets that share a prefix token and pass the length filter and the positional filter
-become candidates, and Jaccard similarity is verified on the whole sets.
+``n - ceil(t n) + 1`` tokens; sets that share a prefix token become candidates if they pass the length filter, the
+positional filter and a bitmap filter (one bit a token, flipped: two sets differ in at least as many tokens as their
+bitmaps in bits). Jaccard similarity is verified on the whole sets.
+
+A prefix token whose bucket holds ``COMMON`` or more words would pair too many sets. Similar sets share two tokens
+among the first ``n - ceil(t n) + 2``, so such a token is joined together with each token after it there. Sets of up
+to three tokens have no similar sets but equal ones and are left out of the join.
+
+Words are cut, hashed and sorted with numpy in Arrow batches: the built-in functions take more CPU time for cutting
+and hashing alone than the whole operator does now. All joins and counts are DataFrame operations.
 
 A line is removed if an earlier line (by id, then line number) has similarity ``t`` or more, judged on the input, so
 the result does not depend on any order of work. Defined results: null texts are empty; lines without words are
 never removed; rows with one id are one place, so repeated rows do not remove each other and share their removed
-line numbers; an empty table gives an empty result; other columns are ignored.
+line numbers; rows with a null id are such a place too, the first of all; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import ascii_lower, release, store, table, whole_text
+from joinlab.llm.common import drop_stored, release, small_batches, store, table, whole_text
+from joinlab.llm.windows import word_hashes
 
 SIMILARITY = 0.8
-RANKS = 4096
-
-
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.posexplode(F.split("t", "\n")).alias("line", "body"))
-
-
-def _hashes() -> F.Column:
-    """Distinct 64-bit word hashes of the column ``body``."""
-    words = F.filter(F.split(ascii_lower(F.col("body")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def bucket_ranks(rows: DataFrame) -> list[int]:
-    """The rank of every bucket by the number of tokens in it over all lines."""
-    tokens = _lines(rows).select(F.explode(_hashes()).alias("h"))
-    counts = dict(tokens.groupBy(F.col("h").bitwiseAND(F.lit(RANKS - 1)).cast("int").alias("b")).count().collect())
-    order = sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * RANKS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
+BUCKETS = 1 << 18
+#: Words in a bucket from which its tokens are joined in twos.
+COMMON = 1024
+#: Bits of a key below its rank.
+RANK_AT = 57
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Word hashes of all texts in order, the number of words of each line, the number of lines of each text."""
+    lines = [t.encode().lower().split(b"\n") for t in texts]  # bytes.lower changes A-Z only
+    words = [line.split() for line in chain.from_iterable(lines)]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    return word_hashes([*chain.from_iterable(words)]), counts, [*map(len, lines)]
+
+
+def _rank(count: np.ndarray | int) -> np.ndarray:
+    return np.floor(1.5 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
+def bucket_ranks(rows: DataFrame) -> np.ndarray:
+    """The rank of every bucket by the number of words in it over all lines."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                h, _, _ = _words([t.as_py()])
+                np.add.at(total, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["b", "c"])
+
+    counts = rows.select("t").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
+    ranks = np.zeros(BUCKETS, np.uint8)
+    ranks[counts["b"].to_numpy()] = _rank(counts["c"].to_numpy())
     return ranks
 
 
-def _keys(ranks: list[int]) -> F.Column:
-    """Token keys of ``body``, rarest first."""
-    rank = F.lit(ranks)
-    key = lambda h: F.shiftleft(F.element_at(rank, h.bitwiseAND(F.lit(RANKS - 1)).cast("int") + 1).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
-    return F.sort_array(F.transform(_hashes(), key))
+def _sets(texts: list[str], ranks: np.ndarray):
+    """The token sets of all lines that have words: keys (sorted inside each set), start and size of each set in them,
+    text and line number of each set."""
+    h, counts, n_lines = _words(texts)
+    keys = (ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(RANK_AT)) | (h >> np.uint64(64 - RANK_AT))
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    keys, row = keys[new], row[new]
+    used, start, n = np.unique(row, return_index=True, return_counts=True)
+    of_text = np.repeat(np.arange(len(texts)), n_lines)
+    number = np.concatenate([np.arange(n) for n in n_lines]) if texts else np.zeros(0, np.int64)
+    return keys, start, n, of_text[used], number[used]
+
+
+def _names(keys: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit name and the bitmap of each set."""
+    x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    if not len(start):
+        return x, x
+    return np.add.reduceat(x, start), np.bitwise_xor.reduceat(np.uint64(1) << (x >> np.uint64(58)), start)
+
+
+def _lists(keys: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """The first ``n`` keys of every set."""
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(n) else 0) + np.repeat(start - (ends - n), n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys[at].view(np.int64)))
+
+
+def _groups(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+    """Runs of rows of a batch with about ``most`` characters, so that arrays stay small."""
+    texts, first, size = batch.column(column).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+
+
+def cut_lines(rows: DataFrame, ranks: np.ndarray, similarity: float) -> DataFrame:
+    """A row for each line with words: id, line, set, n, bits, prefix (with one token more than the filter needs)."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for first, texts in _groups(b, 1):
+                keys, start, n, of_text, line = _sets(texts, ranks)
+                name, bits = _names(keys, start)
+                prefix = np.where(n > 3, np.minimum(n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 2, n), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(of_text + first)), pa.array(line.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), _lists(keys, start, prefix)],
+                    names=["id", "line", "set", "n", "bits", "prefix"],
+                )
+
+    return rows.select("id", "t").mapInArrow(run, f"id {kind}, line int, set long, n int, bits long, prefix array<long>")
+
+
+def _whole_sets(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """texts: wanted (sets), t. The keys of the sets that are wanted."""
+
+    def run(batches):
+        for b in batches:
+            wanted = b.column(0).to_pylist()
+            for first, group in _groups(b, 1):
+                keys, start, n, of_text, _ = _sets(group, ranks)
+                name = _names(keys, start)[0].view(np.int64)
+                sets = [frozenset(x) for x in wanted[first : first + len(group)]]
+                on = np.fromiter((s in sets[i] for s, i in zip(name.tolist(), of_text.tolist(), strict=True)), bool, len(name))
+                yield pa.RecordBatch.from_arrays([pa.array(name[on]), _lists(keys, start[on], n[on])], names=["set", "keys"])
+
+    return texts.select("wanted", "t").mapInArrow(run, "set long, keys array<long>")
+
+
+def candidate_pairs(sets: DataFrame, similarity: float, common: int = COMMON) -> DataFrame:
+    """sets: set, n, bits, prefix. Pairs (set_a < set_b) that pass all filters, each once."""
+    hot = int(_rank(common))
+    tokens = sets.where("n > 3").select("set", "n", "bits", "prefix", F.posexplode("prefix").alias("at", "key"))
+    is_hot = F.shiftrightunsigned("key", RANK_AT) >= hot
+    tokens = tokens.where(F.col("at") < F.size("prefix") - 1)
+    both_at = tokens.select("set", "n", "bits", "at", "key", is_hot.alias("hot"), F.posexplode(F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))).alias("step", "next"))
+    # rest: the most tokens that two sets can share if the tokens joined on are the first ones they share
+    sig = F.when(F.col("hot"), F.xxhash64("key", "next")).otherwise(F.col("key")).alias("sig")
+    rest = F.when(F.col("hot"), F.col("n") - F.col("at") - F.col("step")).otherwise(F.col("n") - F.col("at")).alias("rest")
+    index = both_at.select(sig, "set", "n", "bits", rest)
+    a, b = (index.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "bits", "rest"))) for s in "ab")
+    share = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+    length = (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & (F.col("n_b") >= F.col("n_a") * similarity - 1e-9)
+    bitmap = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * share
+    on = (F.col("set_a") < F.col("set_b")) & bitmap & length & (F.least("rest_a", "rest_b") >= share)
+    return a.join(b.hint("merge"), "sig").where(on).select("set_a", "set_b").distinct()
 
 
-def similar_lines(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """rows: id, t. Returns the lines (id, line, set, n) and, for each set with one, its earliest similar place."""
+def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """rows: id, t. Returns the lines (id, line, set) and, for each set, its earliest similar place."""
+    if not 0.75 < similarity <= 1:
+        raise ValueError("similarity must be over 0.75 and at most 1")
+    small_batches(rows.sparkSession)
     ranks = bucket_ranks(rows)
-    need = lambda n: F.ceil(n * similarity - 1e-9).cast("int")
-    cut = _lines(rows).select("id", "line", _keys(ranks).alias("keys")).where(F.size("keys") > 0)
-    cut = cut.select("id", "line", F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), F.slice("keys", F.lit(1), F.size("keys") - need(F.size("keys")) + 1).alias("prefix"))
-    lines = store(cut, "lines")
-    sets = store(lines.groupBy("set").agg(F.min(F.struct("id", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    cut = store(cut_lines(rows, ranks, similarity), "cut")
+    lines = cut.select("id", "line", "set")
+    sets = cut.groupBy("set").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x")).select("set", "place", "x.*")
+    sets = store(sets, "sets")
     release(rows.sparkSession)
-    prefixes = sets.select("set", "n", F.posexplode("prefix").alias("at", "key"))
-    a, b = (prefixes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "at"))) for s in "ab")
-    both = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
-    length = (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & (F.col("n_b") >= F.col("n_a") * similarity - 1e-9)
-    position = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= both
-    pairs = a.join(b, "key").where((F.col("set_a") < F.col("set_b")) & length & position).select("set_a", "set_b").distinct()
-    pairs = store(pairs, "pairs")
+    pairs = store(candidate_pairs(sets, similarity, common), "pairs")
     release(rows.sparkSession)
-    # The whole sets of candidates are read again from the text of the place where each occurs first.
+    # The whole sets of candidates are cut again from the text of the place where each occurs first.
     wanted = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).distinct().join(sets.select("set", "place"), "set")
-    per_doc = wanted.groupBy("place.id").agg(F.collect_set("place.line").alias("wanted"))
-    texts = rows.join(per_doc.hint("shuffle_hash"), "id").select("id", "wanted", F.posexplode(F.split("t", "\n")).alias("line", "body"))
-    whole = texts.where(F.array_contains("wanted", F.col("line"))).select(_keys(ranks).alias("keys"))
-    whole = store(whole.select(F.xxhash64("keys").alias("set"), "keys").groupBy("set").agg(F.first("keys").alias("keys")), "candidates")
+    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("set").alias("wanted"))
+    texts = rows.join(per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")))
+    whole = store(_whole_sets(texts, ranks).groupBy("set").agg(F.first("keys").alias("keys")), "whole")
     release(rows.sparkSession)
     x, y = whole.toDF("set_a", "keys_a"), whole.toDF("set_b", "keys_b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     near = pairs.join(x, "set_a").join(y, "set_b").where(shared >= (F.size("keys_a") + F.size("keys_b") - shared) * similarity - 1e-9).select("set_a", "set_b")
     near = store(near, "near")
+    drop_stored(whole)
     sides = near.toDF("set", "other").unionByName(near.toDF("other", "set"))
     others = sides.join(sets.select(F.col("set").alias("other"), "place"), "other").groupBy("set").agg(F.min("place").alias("near_place"))
     first = sets.join(others, "set", "left").select("set", F.least("place", F.coalesce("near_place", "place")).alias("first"))
     return lines, store(first, "first")
 
 
-def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, common: int = COMMON) -> DataFrame:
     """One row per input row: key, n_lines, n_removed, kept (the lines that stay), kept_sha256."""
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("t"))
-    lines, first = similar_lines(rows, similarity)
-    gone = lines.join(first, "set").where(F.col("first") < F.struct("id", "line")).groupBy("id").agg(F.collect_set("line").alias("gone"))
+    lines, first = similar_lines(rows, similarity, common)
+    gone = lines.join(first, "set").where(F.col("first") < F.struct("id", "line")).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
     gone = store(gone, "gone")
     release(docs.sparkSession)
-    out = rows.join(gone, "id", "left").withColumn("parts", F.split("t", "\n"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("parts", F.split("t", "\n"))
     kept = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = out.select("id", F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias("kept"))
     return out.withColumns({"n_removed": F.greatest("n_removed", F.lit(0).cast("long")), "kept_sha256": F.sha2("kept", 256)}).withColumnRenamed("id", key)

@@ -90,12 +90,13 @@ def test_op2_line_dedup(docs, empty):
                 if any(p < (i, k) and len(s & o) >= 0.8 * len(s | o) - 1e-9 for p, o in sets):
                     gone[i].add(k)
                 sets.append(((i, k), s))
-    got = table(line_dedup.remove_repeated_lines(docs))
     assert sum(map(len, gone.values())) > 20
-    for i, t in payloads().items():
-        parts = t.split("\n")
-        kept = "\n".join(x for k, x in enumerate(parts) if k not in gone[i])
-        assert (got[i].n_lines, got[i].n_removed, got[i].kept) == (len(parts), len(gone[i]), kept)
+    for common in (line_dedup.COMMON, 1):  # at 1, all tokens are joined in twos
+        got = table(line_dedup.remove_repeated_lines(docs, common=common))
+        for i, t in payloads().items():
+            parts = t.split("\n")
+            kept = "\n".join(x for k, x in enumerate(parts) if k not in gone[i])
+            assert (got[i].n_lines, got[i].n_removed, got[i].kept) == (len(parts), len(gone[i]), kept)
     assert line_dedup.remove_repeated_lines(empty).count() == 0
 
 
