@@ -12,6 +12,10 @@ A prefix token whose bucket holds ``COMMON`` or more words would pair too many s
 among the first ``n - ceil(t n) + 2``, so such a token is joined together with each token after it there. Sets of up
 to three tokens have no similar sets but equal ones and are left out of the join.
 
+An earlier similar line is enough to remove a line, whichever it is. In a large group of sets with one token each set
+is therefore compared with the earliest alone first; the sets that are similar to it are settled, and only the others
+look for partners among all sets. So a group of near copies costs as many comparisons as it has members.
+
 Words are cut, hashed and sorted with numpy in Arrow batches: the built-in functions take more CPU time for cutting
 and hashing alone than the whole operator does now. All joins and counts are DataFrame operations.
 
@@ -38,6 +42,8 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 18
 #: Words in a bucket from which its tokens are joined in twos.
 COMMON = 1024
+#: Rows that share a token from which they are first compared with the earliest of them alone.
+LED = 16
 #: Bits of a key below its rank.
 RANK_AT = 57
 
@@ -60,9 +66,8 @@ def bucket_ranks(rows: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                h, _, _ = _words([t.as_py()])
-                np.add.at(total, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            for _, texts in _groups(b, 0):
+                total += np.bincount((_words(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             some = at[i : i + (1 << 16)]
@@ -152,60 +157,84 @@ def _whole_sets(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
     return texts.select("wanted", "t").mapInArrow(run, "set long, keys array<long>")
 
 
-def candidate_pairs(sets: DataFrame, similarity: float, common: int = COMMON) -> DataFrame:
-    """sets: set, n, bits, prefix. Pairs (set_a < set_b) that pass all filters, each once."""
+def token_index(sets: DataFrame, common: int = COMMON) -> DataFrame:
+    """sets: set, place, n, bits, prefix. A row for each prefix token, or for each two if the first is common: sig, set,
+    place, n, bits, rest (the most tokens that two sets can share if those joined on are the first ones they share)."""
     hot = int(_rank(common))
-    tokens = sets.where("n > 3").select("set", "n", "bits", "prefix", F.posexplode("prefix").alias("at", "key"))
+    tokens = sets.where("n > 3").select("*", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < F.size("prefix") - 1)
     is_hot = F.shiftrightunsigned("key", RANK_AT) >= hot
-    tokens = tokens.where(F.col("at") < F.size("prefix") - 1)
-    both_at = tokens.select("set", "n", "bits", "at", "key", is_hot.alias("hot"), F.posexplode(F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))).alias("step", "next"))
-    # rest: the most tokens that two sets can share if the tokens joined on are the first ones they share
+    after = F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))
+    tokens = tokens.select("set", "place", "n", "bits", "at", "key", is_hot.alias("hot"), F.posexplode(after).alias("step", "next"))
     sig = F.when(F.col("hot"), F.xxhash64("key", "next")).otherwise(F.col("key")).alias("sig")
     rest = F.when(F.col("hot"), F.col("n") - F.col("at") - F.col("step")).otherwise(F.col("n") - F.col("at")).alias("rest")
-    index = both_at.select(sig, "set", "n", "bits", rest)
-    a, b = (index.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "bits", "rest"))) for s in "ab")
-    share = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
-    length = (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & (F.col("n_b") >= F.col("n_a") * similarity - 1e-9)
-    bitmap = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * share
-    on = (F.col("set_a") < F.col("set_b")) & bitmap & length & (F.least("rest_a", "rest_b") >= share)
-    return a.join(b.hint("merge"), "sig").where(on).select("set_a", "set_b").distinct()
+    return tokens.select(sig, "set", "place", "n", "bits", rest)
+
+
+def _pass(similarity: float) -> F.Column:
+    """The filters on an earlier set (columns ending in _e) and a later one (_l)."""
+    share = F.ceil((F.col("n_e") + F.col("n_l")) * (similarity / (1 + similarity)) - 1e-9)
+    length = (F.col("n_e") >= F.col("n_l") * similarity - 1e-9) & (F.col("n_l") >= F.col("n_e") * similarity - 1e-9)
+    bitmap = F.bit_count(F.col("bits_e").bitwiseXOR(F.col("bits_l"))) <= F.col("n_e") + F.col("n_l") - 2 * share
+    return (F.col("place_e") < F.col("place_l")) & bitmap & length & (F.least("rest_e", "rest_l") >= share)
+
+
+def _side(index: DataFrame, end: str) -> DataFrame:
+    return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "place", "n", "bits", "rest")))
+
+
+def leader_pairs(index: DataFrame, similarity: float) -> DataFrame:
+    """In groups of ``LED`` rows and more, pairs of the earliest set with each other one: as many as rows, not their square."""
+    first = index.groupBy("sig").agg(F.min(F.struct("place", "set", "n", "bits", "rest")).alias("x"), F.count("*").alias("rows"))
+    leaders = _side(first.where(F.col("rows") >= LED).select("sig", "x.*"), "e")
+    return _side(index, "l").join(leaders.hint("merge"), "sig").where(_pass(similarity)).select("set_e", "set_l").distinct()
+
+
+def candidate_pairs(index: DataFrame, later: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a set of ``later`` with an earlier one that pass all filters, each once."""
+    return _side(later, "l").join(_side(index, "e").hint("merge"), "sig").where(_pass(similarity)).select("set_e", "set_l").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, ranks: np.ndarray, similarity: float) -> DataFrame:
+    """The sets (column set) that are the later one of a pair with enough similarity."""
+    pairs = store(pairs, "pairs")
+    release(rows.sparkSession)
+    # The whole sets of candidates are cut again from the text of the place where each occurs first.
+    wanted = pairs.select(F.explode(F.array("set_e", "set_l")).alias("set")).distinct().join(sets.select("set", "place"), "set")
+    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("set").alias("wanted"))
+    texts = rows.join(per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")))
+    whole = store(_whole_sets(texts, ranks).groupBy("set").agg(F.first("keys").alias("keys")), "whole")
+    release(rows.sparkSession)
+    e, l = whole.toDF("set_e", "keys_e"), whole.toDF("set_l", "keys_l")
+    shared = F.size(F.array_intersect("keys_e", "keys_l"))
+    enough = shared >= (F.size("keys_e") + F.size("keys_l") - shared) * similarity - 1e-9
+    near = store(pairs.join(e, "set_e").join(l, "set_l").where(enough).select(F.col("set_l").alias("set")).distinct(), "near")
+    drop_stored(whole)
+    release(rows.sparkSession)
+    return near
 
 
 def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """rows: id, t. Returns the lines (id, line, set) and, for each set, its earliest similar place."""
+    """rows: id, t. Returns the lines (id, line, set) and for each set its first place and whether an earlier set is similar (near)."""
     if not 0.75 < similarity <= 1:
         raise ValueError("similarity must be over 0.75 and at most 1")
     small_batches(rows.sparkSession)
     ranks = bucket_ranks(rows)
     cut = store(cut_lines(rows, ranks, similarity), "cut")
-    lines = cut.select("id", "line", "set")
     sets = cut.groupBy("set").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x")).select("set", "place", "x.*")
     sets = store(sets, "sets")
     release(rows.sparkSession)
-    pairs = store(candidate_pairs(sets, similarity, common), "pairs")
-    release(rows.sparkSession)
-    # The whole sets of candidates are cut again from the text of the place where each occurs first.
-    wanted = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).distinct().join(sets.select("set", "place"), "set")
-    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("set").alias("wanted"))
-    texts = rows.join(per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")))
-    whole = store(_whole_sets(texts, ranks).groupBy("set").agg(F.first("keys").alias("keys")), "whole")
-    release(rows.sparkSession)
-    x, y = whole.toDF("set_a", "keys_a"), whole.toDF("set_b", "keys_b")
-    shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    near = pairs.join(x, "set_a").join(y, "set_b").where(shared >= (F.size("keys_a") + F.size("keys_b") - shared) * similarity - 1e-9).select("set_a", "set_b")
-    near = store(near, "near")
-    drop_stored(whole)
-    sides = near.toDF("set", "other").unionByName(near.toDF("other", "set"))
-    others = sides.join(sets.select(F.col("set").alias("other"), "place"), "other").groupBy("set").agg(F.min("place").alias("near_place"))
-    first = sets.join(others, "set", "left").select("set", F.least("place", F.coalesce("near_place", "place")).alias("first"))
-    return lines, store(first, "first")
+    near = _similar(leader_pairs(token_index(sets, common), similarity), sets, rows, ranks, similarity)
+    open_sets = sets.join(near, "set", "left_anti")  # sets known to be near an earlier one need no other
+    near = near.unionByName(_similar(candidate_pairs(token_index(sets, common), token_index(open_sets, common), similarity), sets, rows, ranks, similarity))
+    first = sets.select("set", "place").join(near.withColumn("near", F.lit(True)), "set", "left")
+    return cut.select("id", "line", "set"), store(first.withColumn("near", F.coalesce("near", F.lit(False))), "first")
 
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, common: int = COMMON) -> DataFrame:
     """One row per input row: key, n_lines, n_removed, kept (the lines that stay), kept_sha256."""
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("t"))
     lines, first = similar_lines(rows, similarity, common)
-    gone = lines.join(first, "set").where(F.col("first") < F.struct("id", "line")).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
+    gone = lines.join(first, "set").where(F.col("near") | (F.col("place") < F.struct("id", "line"))).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
     gone = store(gone, "gone")
     release(docs.sparkSession)
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("parts", F.split("t", "\n"))
