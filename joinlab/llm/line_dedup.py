@@ -1,4 +1,4 @@
-"""Line dedup: an exact set-similarity join over lines.
+"""Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
 
 A line's tokens are its distinct words, A-Z lower-cased. Words hash to 64 bits; the low bits name one of
 ``BUCKETS`` buckets, whose frequencies over all lines are counted (a table of fixed size), and a token's key is the
@@ -16,9 +16,6 @@ An earlier similar line is enough to remove a line, whichever it is. In a large
 is therefore compared with the earliest alone first; the sets that are similar to it are settled, and only the others
 look for partners among all sets. So a group of near copies costs as many comparisons as it has members.
 
-Words are cut, hashed and sorted with numpy in Arrow batches: the built-in functions take more CPU time for cutting
-and hashing alone than the whole operator does now. All joins and counts are DataFrame operations.
-
 A line is removed if an earlier line (by id, then line number) has similarity ``t`` or more, judged on the input, so
 the result does not depend on any order of work. Defined results: null texts are empty; lines without words are
 never removed; rows with one id are one place, so repeated rows do not remove each other and share their removed
@@ -28,18 +25,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-from itertools import chain
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import drop_stored, release, small_batches, store, table, whole_text
-from joinlab.llm.windows import word_hashes
+from joinlab.llm.common import ascii_lower, drop_stored, release, store, table, whole_text
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 18
+SPACE = r"[\x20\x09-\x0D]+"
 #: Words in a bucket from which its tokens are joined in twos.
 COMMON = 1024
 #: Rows that share a token from which they are first compared with the earliest of them alone.
@@ -48,119 +41,55 @@ LED = 16
 RANK_AT = 57
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Word hashes of all texts in order, the number of words of each line, the number of lines of each text."""
-    lines = [t.encode().lower().split(b"\n") for t in texts]  # bytes.lower changes A-Z only
-    words = [line.split() for line in chain.from_iterable(lines)]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    return word_hashes([*chain.from_iterable(words)]), counts, [*map(len, lines)]
-
-
-def _rank(count: np.ndarray | int) -> np.ndarray:
-    return np.floor(1.5 * np.log2(np.maximum(count, 1))).astype(np.uint8)
-
-
-def bucket_ranks(rows: DataFrame) -> np.ndarray:
-    """The rank of every bucket by the number of words in it over all lines."""
-
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for _, texts in _groups(b, 0):
-                total += np.bincount((_words(texts)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["b", "c"])
-
-    counts = rows.select("t").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
-    ranks = np.zeros(BUCKETS, np.uint8)
-    ranks[counts["b"].to_numpy()] = _rank(counts["c"].to_numpy())
-    return ranks
-
-
-def _sets(texts: list[str], ranks: np.ndarray):
-    """The token sets of all lines that have words: keys (sorted inside each set), start and size of each set in them,
-    text and line number of each set."""
-    h, counts, n_lines = _words(texts)
-    keys = (ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(RANK_AT)) | (h >> np.uint64(64 - RANK_AT))
-    row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    keys, row = keys[new], row[new]
-    used, start, n = np.unique(row, return_index=True, return_counts=True)
-    of_text = np.repeat(np.arange(len(texts)), n_lines)
-    number = np.concatenate([np.arange(n) for n in n_lines]) if texts else np.zeros(0, np.int64)
-    return keys, start, n, of_text[used], number[used]
-
-
-def _names(keys: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit name and the bitmap of each set."""
-    x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    if not len(start):
-        return x, x
-    return np.add.reduceat(x, start), np.bitwise_xor.reduceat(np.uint64(1) << (x >> np.uint64(58)), start)
-
-
-def _lists(keys: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    """The first ``n`` keys of every set."""
-    ends = np.cumsum(n)
-    at = np.arange(ends[-1] if len(n) else 0) + np.repeat(start - (ends - n), n)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys[at].view(np.int64)))
-
-
-def _groups(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
-    """Runs of rows of a batch with about ``most`` characters, so that arrays stay small."""
-    texts, first, size = batch.column(column).to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i == len(texts) - 1:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-
-
-def cut_lines(rows: DataFrame, ranks: np.ndarray, similarity: float) -> DataFrame:
-    """A row for each line with words: id, line, set, n, bits, prefix (with one token more than the filter needs)."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _lines(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.posexplode(F.split("t", "\n")).alias("line", "body"))
+
+
+def _hash(word: F.Column) -> F.Column:
+    """The hash of a word, A-Z lower-cased; ``lower`` does that to a word of ASCII, and much faster than ``translate``."""
+    return F.xxhash64(F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(ascii_lower(word)))
 
-    def run(batches):
-        for b in batches:
-            for first, texts in _groups(b, 1):
-                keys, start, n, of_text, line = _sets(texts, ranks)
-                name, bits = _names(keys, start)
-                prefix = np.where(n > 3, np.minimum(n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 2, n), 0)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(of_text + first)), pa.array(line.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), _lists(keys, start, prefix)],
-                    names=["id", "line", "set", "n", "bits", "prefix"],
-                )
 
-    return rows.select("id", "t").mapInArrow(run, f"id {kind}, line int, set long, n int, bits long, prefix array<long>")
+def _rank(count: F.Column) -> F.Column:
+    return F.floor(1.5 * F.log2(F.greatest(count, F.lit(1)))).cast("int")
 
 
-def _whole_sets(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """texts: wanted (sets), t. The keys of the sets that are wanted."""
+def bucket_ranks(rows: DataFrame) -> DataFrame:
+    """One row, ``ranks``: a byte for each bucket, its rank by the number of words in it over all lines, plus 33."""
+    words = _lines(rows).select(F.explode(F.split("body", SPACE)).alias("w")).where("w != ''")
+    seen = words.select(_hash(F.col("w")).bitwiseAND(F.lit(BUCKETS - 1)).alias("b"), F.lit(1).alias("c"))
+    all_buckets = rows.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).alias("c"))
+    ranks = seen.unionByName(all_buckets).groupBy("b").agg(F.chr(_rank(F.sum("c")) + 33).alias("rank"))
+    # Sorted and joined in two steps; sizes depend on BUCKETS alone.
+    joined = lambda at, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(text).alias("x")))), lambda s: s.x), "")
+    runs = ranks.groupBy(F.shiftright("b", 8).alias("run")).agg(joined(F.col("b"), "rank").alias("part"))
+    return store(runs.agg(joined(F.col("run"), "part").cast("binary").alias("ranks")), "ranks")
 
-    def run(batches):
-        for b in batches:
-            wanted = b.column(0).to_pylist()
-            for first, group in _groups(b, 1):
-                keys, start, n, of_text, _ = _sets(group, ranks)
-                name = _names(keys, start)[0].view(np.int64)
-                sets = [frozenset(x) for x in wanted[first : first + len(group)]]
-                on = np.fromiter((s in sets[i] for s, i in zip(name.tolist(), of_text.tolist(), strict=True)), bool, len(name))
-                yield pa.RecordBatch.from_arrays([pa.array(name[on]), _lists(keys, start[on], n[on])], names=["set", "keys"])
 
-    return texts.select("wanted", "t").mapInArrow(run, "set long, keys array<long>")
+def _keys(lines: DataFrame, ranks: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``keys``: the token keys of ``body``, rarest first. The table of ranks comes as a scalar subquery."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("body", SPACE), _hash)), F.xxhash64(F.lit("")))
+
+    def key(h):
+        rank = F.ascii(F.substring(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 33
+        return F.shiftleft(rank.cast("long"), RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
+
+    return lines.withColumn("ranks", ranks.scalar()).select(*columns, F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("keys"))
+
+
+def cut_lines(rows: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
+    """A row for each line with words: id, line, set, n, bits, prefix (with one token more than the filter needs)."""
+    n = F.size("keys")
+    flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+    length = F.when(n > 3, F.least(n - F.ceil(n * similarity - 1e-9).cast("int") + 2, n)).otherwise(0)
+    cut = _keys(_lines(rows, "id"), ranks, "id", "line").where(n > 0)
+    return cut.select("id", "line", F.xxhash64("keys").alias("set"), n.alias("n"), F.aggregate("keys", F.lit(0).cast("long"), flip).alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix"))
 
 
 def token_index(sets: DataFrame, common: int = COMMON) -> DataFrame:
     """sets: set, place, n, bits, prefix. A row for each prefix token, or for each two if the first is common: sig, set,
     place, n, bits, rest (the most tokens that two sets can share if those joined on are the first ones they share)."""
-    hot = int(_rank(common))
+    hot = _rank(F.lit(common))
     tokens = sets.where("n > 3").select("*", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < F.size("prefix") - 1)
     is_hot = F.shiftrightunsigned("key", RANK_AT) >= hot
     after = F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))
@@ -194,15 +123,17 @@ def candidate_pairs(index: DataFrame, later: DataFrame, similarity: float) -> Da
     return _side(later, "l").join(_side(index, "e").hint("merge"), "sig").where(_pass(similarity)).select("set_e", "set_l").distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, ranks: np.ndarray, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
     """The sets (column set) that are the later one of a pair with enough similarity."""
     pairs = store(pairs, "pairs")
     release(rows.sparkSession)
     # The whole sets of candidates are cut again from the text of the place where each occurs first.
     wanted = pairs.select(F.explode(F.array("set_e", "set_l")).alias("set")).distinct().join(sets.select("set", "place"), "set")
-    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("set").alias("wanted"))
+    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("place.line").alias("wanted"))
     texts = rows.join(per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")))
-    whole = store(_whole_sets(texts, ranks).groupBy("set").agg(F.first("keys").alias("keys")), "whole")
+    again = _lines(texts, "wanted").where(F.array_contains("wanted", F.col("line")))
+    whole = _keys(again, ranks).select(F.xxhash64("keys").alias("set"), "keys")
+    whole = store(whole.groupBy("set").agg(F.first("keys").alias("keys")), "whole")
     release(rows.sparkSession)
     e, l = whole.toDF("set_e", "keys_e"), whole.toDF("set_l", "keys_l")
     shared = F.size(F.array_intersect("keys_e", "keys_l"))
@@ -217,7 +148,6 @@ def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int =
     """rows: id, t. Returns the lines (id, line, set) and for each set its first place and whether an earlier set is similar (near)."""
     if not 0.75 < similarity <= 1:
         raise ValueError("similarity must be over 0.75 and at most 1")
-    small_batches(rows.sparkSession)
     ranks = bucket_ranks(rows)
     cut = store(cut_lines(rows, ranks, similarity), "cut")
     sets = cut.groupBy("set").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x")).select("set", "place", "x.*")
