@@ -82,7 +82,8 @@ def cut_lines(rows: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame
     n = F.size("keys")
     flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     length = F.when(n > 3, F.least(n - F.ceil(n * similarity - 1e-9).cast("int") + 2, n)).otherwise(0)
-    cut = _keys(_lines(rows, "id"), ranks, "id", "line").where(n > 0)
+    # Filtering by the number of keys would compute all keys twice: once for the filter, once for the row.
+    cut = _keys(_lines(rows, "id").where(F.col("body").rlike(r"[^\x20\x09-\x0D]")), ranks, "id", "line")
     return cut.select("id", "line", F.xxhash64("keys").alias("set"), n.alias("n"), F.aggregate("keys", F.lit(0).cast("long"), flip).alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix"))
 
 
