@@ -3,7 +3,8 @@ checksums, exact durations and frame seek offsets.
 
 ``parse`` reads any byte string. ``wrap`` stores arbitrary bytes losslessly in a valid MPEG-1 Layer III
 stream: silent frames (all part lengths zero) whose main-data area holds the payload, each frame with its
-CRC-16, behind an ID3v2 tag with the exact sizes and a Xing frame with counts and a seek table.
+CRC-16, behind an ID3v2 tag with the exact sizes and a Xing frame with counts and a seek table. If the payload
+puts "TAG" where an ID3v1 tag would start, an empty ID3v1 tag closes the stream, so that no payload is taken for one.
 """
 
 from __future__ import annotations
@@ -185,7 +186,8 @@ def wrap(payload: bytes, text_bytes: int) -> bytes:
     table_ = _silent(7) + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
     table_ += bytes(_SIZES[7] - len(table_))
     tag = _text_frame("payload_bytes", len(payload)) + _text_frame("text_bytes", text_bytes)
-    return b"ID3\4\0\0" + bytes((len(tag) >> s) & 0x7F for s in (21, 14, 7, 0)) + tag + table_ + audio
+    close = b"TAG" + bytes(125) if audio[-128:-125] == b"TAG" else b""
+    return b"ID3\4\0\0" + bytes((len(tag) >> s) & 0x7F for s in (21, 14, 7, 0)) + tag + table_ + audio + close
 
 
 def pad64(raw: bytes) -> bytes:

@@ -80,6 +80,17 @@ def test_op1_resync_and_checksums():
     assert mpeg_audio.parse(b"\xff" * 999)["offsets"] == [] and mpeg_audio.parse(whole[: at + 9])["offsets"] == base["offsets"][:3]
 
 
+def test_op1_payload_that_looks_like_a_tag(spark):
+    for n in range(64, 3000, 64):
+        for shift in range(3):
+            payload = (b"TAG" * n)[shift : shift + n]
+            p = mpeg_audio.parse(mpeg_audio.wrap(payload, n))
+            assert p["body"][:n] == payload and p["skipped"] == 0 and p["vbr_agrees"] and set(p["tags"]) == {"payload_bytes", "text_bytes"}
+    text = "x" * 86 + "TAG" + "y" * 51
+    r = mpeg_audio.media_columns(mpeg_audio.wrap_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.payload_bytes, r.payload_sha256) == (192, hashlib.sha256(text.encode().ljust(192, b"\0")).hexdigest())
+
+
 def test_op2_line_dedup(docs, empty):
     sets, gone = [], defaultdict(set)
     lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
