@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from joinlab.llm import exact_dedup, mixing, packing, rule_ensemble, simhash
+from joinlab.llm import exact_dedup, mixing, near_jaccard, packing, rule_ensemble
 from joinlab.llm.common import partitions, store, table
 
 
@@ -33,8 +33,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
+    """Of each group of near duplicates (Jaccard 0.8 or more on five-word shingles) the document with the smallest id stays.
+    No radius of SimHash covers that similarity, so the join is on the shingles themselves; op7 has its own numbers."""
+    kept = near_jaccard.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(docs.columns)
 
 

@@ -1,11 +1,12 @@
 """Each stage of the pipeline against a plain version of its decision."""
 
 import hashlib
+import random
 
 import pytest
 
 import corpus_pipeline
-from joinlab.llm import common, mixing, rule_ensemble, simhash
+from joinlab.llm import common, mixing, near_jaccard, rule_ensemble, simhash
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,44 @@ def test_mix_and_pack(steps):
     for r in want:
         counts[r[0]] = counts.get(r[0], 0) + 1
     assert {i: round(n) for i, n in totals.items()} == counts
+
+
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard_survivors(sets):
+    """Ids that are the smallest of their component of pairs with Jaccard 0.8 or more, by brute force."""
+    group, pairs = {i: i for i in sets}, [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return {i for i in sets if group[i] == i}
+
+
+def test_near_finds_all_of_jaccard(steps):
+    kept = jaccard_survivors({r[0]: shingles(r[1]) for r in rows(steps[2])})
+    assert rows(steps[3]) == [r for r in rows(steps[2]) if r[0] in kept]
+
+
+def test_near_groups(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
+    base, line, texts = words(150), words(9), [None, " ", "Two words", "two  WORDS", "x"]
+    for k in range(60):
+        copy = base[:]
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(150)] = f"new{rng.randrange(50)}"
+        texts += [" ".join(copy), " ".join(words(40) + line), " ".join(words(3) + line * 3)]
+    chain = words(120)
+    for k in range(12):
+        chain = chain[8:] + words(8)
+        texts.append(" ".join(chain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = jaccard_survivors({i: shingles(t) for i, t in enumerate(texts)})
+    assert 20 < len(want) < len(texts) - 40
+    for options in ({}, {"most": 0, "rounds": 3}, {"rounds": 0}):
+        got = near_jaccard.near_duplicates(docs, **options).collect()
+        assert len(got) == len(texts) and {r.doc_id for r in got if r.doc_id == r.component_id} == want
+    assert near_jaccard.near_duplicates(docs.limit(0)).count() == 0
