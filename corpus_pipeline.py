@@ -3,7 +3,7 @@
 Stages but the last return the columns of ``documents``. SQL cannot express the classifier, the fingerprints or the
 tokenizer, so ORACLE_SQL is None and tests hold each stage against a plain version.
 
-Ids are expected to be unique; rows with one id share the fate that stages 1, 3 and 4 give to the id.
+Ids are expected to be unique; rows with one id share the fate that stages 1 and 3 give to the id; stage 4 takes every row by itself.
 """
 
 from __future__ import annotations
@@ -42,8 +42,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it; the one where a source's target ends counts as whole if at
     least half of it is taken. Rows of an output shard lie together in a random order."""
-    takes = mixing.mix(docs).select(F.col("doc_id").alias("k_id"), "size", F.explode("takes").alias("take")).where("2 * take.words >= size")
-    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("k_id")))
+    fields = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("n")) for c in docs.columns]
+    rows = docs.withColumn("row", F.sha2(F.concat_ws(":", *fields), 256))
+    takes = mixing.mix(rows, keep=("row",)).select("row", "size", F.explode("takes").alias("take")).where("2 * take.words >= size")
+    # Rows that are equal in all columns share their takes, so one of them stands for all.
+    once = W.partitionBy("row").orderBy("n_chars")
+    rows = rows.withColumn("copy", F.row_number().over(once)).where("copy = 1").join(takes, "row")
     slices = max(8, partitions(spark) // mixing.SHARDS)  # slices of a shard, so that partitions stay small at any size
     shuffled = rows.repartition("take.shard", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("take.shard", F.xxhash64("doc_id", "take.pass"))
     return shuffled.select(docs.columns)

@@ -30,7 +30,7 @@ BLOCK_DIGITS = 3
 SHARDS = 16
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def sized(docs: DataFrame, key: str, text: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
     order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":mix")))
     return docs.select(
         F.col(key).alias("id"),
@@ -39,6 +39,7 @@ def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("place"),
         F.substring(order, 1, BLOCK_DIGITS).alias("block"),
+        *(F.col(c).alias(f"keep_{c}") for c in keep),
     )
 
 
@@ -89,12 +90,12 @@ def split_units(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.explode("items").alias("x")).select("x.src", "shard", "x.n")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 0, **shares) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken, takes.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 0, keep: tuple[str, ...] = (), **shares) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, taken, takes, and the columns named in ``keep``.
 
     ``takes`` lists (pass, shard, words) of the row's copies in the mix; words are fewer than the size only
     for the one document where a source's target ends."""
-    rows = store(sized(docs, key, text, source), "sized")
+    rows = store(sized(docs, key, text, source, keep), "sized")
     blocks = rows.groupBy("src", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("n"))
     blocks = store(blocks, "blocks")
     targets = source_targets(blocks, **shares)
@@ -123,6 +124,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.withColumn("takes", takes).select(
         F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target",
         F.expr("aggregate(takes, 0L, (a, t) -> a + t.words)").alias("taken"), "takes",
+        *(F.col(f"keep_{c}").alias(c) for c in keep),
     )
 
 

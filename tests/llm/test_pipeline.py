@@ -105,3 +105,15 @@ def test_near_groups(spark):
         got = near_jaccard.near_duplicates(docs, **options).collect()
         assert len(got) == len(texts) and {r.doc_id for r in got if r.doc_id == r.component_id} == want
     assert near_jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_mix_takes_rows_that_share_an_id_by_themselves(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(5 + k % 7))
+    table = [(k if k < 20 else None if k < 40 else 7, text(k), "en", "ab"[k % 2], k) for k in range(60)] + [(5, text(3), "en", "a", 1)] * 3
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs).collect()
+    out = rows(corpus_pipeline.mix(spark, docs, "").fillna(-1, ["doc_id"]))
+    assert len(out) == sum(2 * t.words >= r.size for r in taken for t in r.takes)
+    counts = {r: out.count(r) for r in out}
+    inputs = [tuple(-1 if v is None else v for v in r) for r in table]
+    assert set(counts) <= set(inputs) and all(n <= 2 * inputs.count(r) for r, n in counts.items())
