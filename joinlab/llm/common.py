@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only if it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark, "_joinlab_scratch"):
         spark._joinlab_scratch = tempfile.mkdtemp(prefix="joinlab-")
     return spark._joinlab_scratch
@@ -32,27 +35,36 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/joinlab-{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a stored DataFrame that nothing will read again."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as two underscores) that end with the block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps; it acts on collected driver objects only."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, lost executors cost nothing.
+    Spark deletes the shuffle files of the step when it ends."""
+    path = scratch(df.sparkSession, label)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._joinlab_path = path
+    return out
+
+
+def drop_stored(*stored: DataFrame) -> None:
+    """Deletes the files of stored DataFrames that nothing will read again."""
+    for df in stored:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._joinlab_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,26 +1,28 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
 
-A line's tokens are its distinct words, A-Z lower-cased. Words hash to 64 bits; the low bits name one of
-``BUCKETS`` buckets, whose frequencies over all lines are counted (a table of fixed size), and a token's key is the
-rank of its bucket, rare first, before the rest of its hash. Keys order every line's tokens by rarity in one global
-order. Lines with equal token sets collapse first. Each distinct set then gives its prefix, the first
-``n - ceil(t n) + 1`` tokens; sets that share a prefix token become candidates if they pass the length filter, the
-positional filter and a bitmap filter (one bit a token, flipped: two sets differ in at least as many tokens as their
-bitmaps in bits). Jaccard similarity is verified on the whole sets.
-
-A prefix token whose bucket holds ``COMMON`` or more words would pair too many sets. Similar sets share two tokens
-among the first ``n - ceil(t n) + 2``, so such a token is joined together with each token after it there. Sets of up
-to three tokens have no similar sets but equal ones and are left out of the join.
-
-An earlier similar line is enough to remove a line, whichever it is. In a large group of sets with one token each set
-is therefore compared with the earliest alone first; the sets that are similar to it are settled, and only the others
-look for partners among all sets. So a group of near copies costs as many comparisons as it has members.
+1. Rarity. A line's tokens are its distinct words, lower-cased. Words hash to 64 bits; the low bits name a bucket, and
+   the words of each bucket are counted over all lines (``bucket_ranks``: a byte a bucket, as many buckets as the text
+   asks for, ``MOST_BUCKETS`` at most). A token's key is its bucket's rank before 57 bits of its hash, so keys order all
+   tokens rare first, in one global order.
+2. Equal sets. Lines with equal keys (two 64-bit hashes over them) collapse to the first place, by id and line number.
+3. Prefix. A set of n tokens gives its first ``n - ceil(t n) + 1`` ones; sets that share one are candidates if they
+   pass the length filter, the positional filter and a bitmap filter (one bit a token, flipped: two sets differ in at
+   least as many tokens as their bitmaps in bits). A token that is alone in its bucket stands in no other line and is
+   left out. A token whose bucket is ``COMMON`` would pair too many sets: as similar sets share two of the first
+   ``n - ceil(t n) + 2`` tokens, it is joined together with each token after it. Sets of up to three tokens have no
+   similar sets but equal ones and stay out of the join.
+4. Leaders. Where ``LED`` sets or more share a token, each is first compared with the earliest of them alone. One
+   earlier similar line is enough to remove a line, so those that are similar to it are settled; the others then look
+   for partners among all sets. A large group of near copies costs as many comparisons as it has members.
+5. Verification. The words of candidate lines are read again from the text at their places and compared themselves.
 
 A line is removed if an earlier line (by id, then line number) has similarity ``t`` or more, judged on the input, so
-the result does not depend on any order of work. Defined results: null texts are empty; lines without words are
-never removed; rows with one id are one place, so repeated rows do not remove each other and share their removed
-line numbers; rows with a null id are such a place too, the first of all; an empty table gives an empty result; other
-columns are ignored.
+the result does not depend on any order of work. Texts move twice at most: to verify candidates and to be cut.
+
+Defined results: null texts are empty; lines without words are never removed; rows with one id are one place, so
+repeated rows do not remove each other and share their removed line numbers; rows with a null id are such a place too,
+the first of all; equal lines are ties that the earliest place wins; a very long text or line is one row of words and is
+cut whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,76 +30,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import ascii_lower, drop_stored, release, store, table, whole_text
+from joinlab.llm.common import drop_stored, settings, store, table, whole_text
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 18
-SPACE = r"[\x20\x09-\x0D]+"
-#: Words in a bucket from which its tokens are joined in twos.
+#: Buckets of words at least and at most, and bytes of text that ask for one more.
+LEAST_BUCKETS, MOST_BUCKETS, TEXT_A_BUCKET = 1 << 16, 1 << 22, 128
+#: Words in a bucket from which its tokens are joined in twos, if that is also eight times the mean.
 COMMON = 1024
-#: Rows that share a token from which they are first compared with the earliest of them alone.
-LED = 16
+#: Sets that share a token from which they are first compared with the earliest of them alone.
+LED = 4
+#: Size of a partition up to which a join hashes it instead of sorting both sides.
+HASHED = "32m"
 #: Bits of a key below its rank.
 RANK_AT = 57
 
 
-def _lines(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.select(*columns, F.posexplode(F.split("t", "\n")).alias("line", "body"))
+def _plain(text: F.Column) -> F.Column:
+    """Lower-cased, with every white space but the line feed as a space."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
 
 
-def _hash(word: F.Column) -> F.Column:
-    """The hash of a word, A-Z lower-cased; ``lower`` does that to a word of ASCII, and much faster than ``translate``."""
-    return F.xxhash64(F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(ascii_lower(word)))
+def _words(line: F.Column) -> F.Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _rank(count: F.Column) -> F.Column:
-    return F.floor(1.5 * F.log2(F.greatest(count, F.lit(1)))).cast("int")
-
-
-def bucket_ranks(rows: DataFrame) -> DataFrame:
-    """One row, ``ranks``: a byte for each bucket, its rank by the number of words in it over all lines, plus 33."""
-    words = _lines(rows).select(F.explode(F.split("body", SPACE)).alias("w")).where("w != ''")
-    seen = words.select(_hash(F.col("w")).bitwiseAND(F.lit(BUCKETS - 1)).alias("b"), F.lit(1).alias("c"))
-    all_buckets = rows.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).alias("c"))
-    ranks = seen.unionByName(all_buckets).groupBy("b").agg(F.chr(_rank(F.sum("c")) + 33).alias("rank"))
-    # Sorted and joined in two steps; sizes depend on BUCKETS alone.
-    joined = lambda at, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(text).alias("x")))), lambda s: s.x), "")
-    runs = ranks.groupBy(F.shiftright("b", 8).alias("run")).agg(joined(F.col("b"), "rank").alias("part"))
-    return store(runs.agg(joined(F.col("run"), "part").cast("binary").alias("ranks")), "ranks")
-
-
-def _keys(lines: DataFrame, ranks: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and ``keys``: the token keys of ``body``, rarest first. The table of ranks comes as a scalar subquery."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("body", SPACE), _hash)), F.xxhash64(F.lit("")))
+    return F.least(F.floor(1.5 * F.log2(F.greatest(count, F.lit(1)))), F.lit(60)).cast("int")
+
+
+def bucket_ranks(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
+    """One row, ``ranks`` (for each bucket, in the low six bits, its rank by the words in it over all lines) and ``hot``
+    (the rank from which a token is common); and the number of buckets, a power of two."""
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, size // TEXT_A_BUCKET)).bit_length() - 1
+    words = rows.select(F.explode(F.split(_plain(F.col("t")), "\n")).alias("body")).select(F.explode(F.split("body", " ")).alias("w")).where("w != ''")
+    seen = words.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"), F.lit(1).cast("long").alias("c"))
+    every = rows.sparkSession.range(buckets).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("c"))
+    counts = seen.unionByName(every).groupBy("b").agg(F.sum("c").alias("c"))
+    # Sorted runs of 128 buckets (seven bits of place before six of rank), joined in two steps: sizes depend on the
+    # number of buckets alone.
+    packed = (F.shiftleft(F.col("b").bitwiseAND(F.lit(127)).cast("int"), 6) + _rank(F.col("c"))).cast("short")
+    runs = counts.groupBy(F.shiftright("b", 7).alias("run")).agg(F.sort_array(F.collect_list(packed)).alias("part"), F.sum("c").alias("c"))
+    joined = lambda: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "part"))), lambda s: s.part))
+    runs = runs.groupBy(F.shiftright("run", 7).alias("far")).agg(joined().alias("part"), F.sum("c").alias("c")).withColumnRenamed("far", "run")
+    hot = _rank(F.greatest(F.lit(common), 8 * F.sum("c") / buckets))
+    return store(runs.agg(joined().alias("ranks"), hot.alias("hot")), "ranks"), buckets
+
+
+def cut_lines(rows: DataFrame, ranks: DataFrame, buckets: int, similarity: float) -> DataFrame:
+    """A row for each line with words: id, line, s1 and s2 (hashes of its set), n, bits, prefix (with one token more
+    than the filter needs). The table of ranks comes as a scalar subquery."""
+    lines = rows.select("id", F.posexplode(F.split(_plain(F.col("t")), "\n")).alias("line", "body")).where("trim(body) != ''")
+    hashes = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
 
     def key(h):
-        rank = F.ascii(F.substring(F.col("ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 33
+        rank = F.coalesce(F.get(F.col("ranks"), h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("short")).bitwiseAND(F.lit(63).cast("short"))
         return F.shiftleft(rank.cast("long"), RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
-    return lines.withColumn("ranks", ranks.scalar()).select(*columns, F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("keys"))
-
-
-def cut_lines(rows: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
-    """A row for each line with words: id, line, set, n, bits, prefix (with one token more than the filter needs)."""
-    n = F.size("keys")
     flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+    keyed = lines.withColumn("ranks", ranks.select("ranks").scalar()).select("id", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
+    n = F.size("keys")
     length = F.when(n > 3, F.least(n - F.ceil(n * similarity - 1e-9).cast("int") + 2, n)).otherwise(0)
-    # Filtering by the number of keys would compute all keys twice: once for the filter, once for the row.
-    cut = _keys(_lines(rows, "id").where(F.col("body").rlike(r"[^\x20\x09-\x0D]")), ranks, "id", "line")
-    return cut.select("id", "line", F.xxhash64("keys").alias("set"), n.alias("n"), F.aggregate("keys", F.lit(0).cast("long"), flip).alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix"))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), flip)
+    return keyed.select("id", "line", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix"))
 
 
-def token_index(sets: DataFrame, common: int = COMMON) -> DataFrame:
-    """sets: set, place, n, bits, prefix. A row for each prefix token, or for each two if the first is common: sig, set,
-    place, n, bits, rest (the most tokens that two sets can share if those joined on are the first ones they share)."""
-    hot = _rank(F.lit(common))
+def token_index(sets: DataFrame, hot: int) -> DataFrame:
+    """sets: id, line, n, bits, prefix. A row for each prefix token, or for each two if the first is common: sig, id, line,
+    n, bits, rest (the most tokens that two sets can share if those joined on are the first ones they share), and other columns."""
+    others = [c for c in sets.columns if c != "prefix"]
     tokens = sets.where("n > 3").select("*", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < F.size("prefix") - 1)
-    is_hot = F.shiftrightunsigned("key", RANK_AT) >= hot
+    rank = F.shiftrightunsigned("key", RANK_AT)
+    tokens, is_hot = tokens.where(rank > 0), rank >= hot
     after = F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))
-    tokens = tokens.select("set", "place", "n", "bits", "at", "key", is_hot.alias("hot"), F.posexplode(after).alias("step", "next"))
+    tokens = tokens.select(*others, "at", "key", is_hot.alias("hot"), F.posexplode(after).alias("step", "next"))
     sig = F.when(F.col("hot"), F.xxhash64("key", "next")).otherwise(F.col("key")).alias("sig")
-    rest = F.when(F.col("hot"), F.col("n") - F.col("at") - F.col("step")).otherwise(F.col("n") - F.col("at")).alias("rest")
-    return tokens.select(sig, "set", "place", "n", "bits", rest)
+    rest = (F.col("n") - F.col("at") - F.when(F.col("hot"), F.col("step")).otherwise(0)).alias("rest")
+    return tokens.select(sig, *others, rest)
 
 
 def _pass(similarity: float) -> F.Column:
@@ -105,73 +115,90 @@ def _pass(similarity: float) -> F.Column:
     share = F.ceil((F.col("n_e") + F.col("n_l")) * (similarity / (1 + similarity)) - 1e-9)
     length = (F.col("n_e") >= F.col("n_l") * similarity - 1e-9) & (F.col("n_l") >= F.col("n_e") * similarity - 1e-9)
     bitmap = F.bit_count(F.col("bits_e").bitwiseXOR(F.col("bits_l"))) <= F.col("n_e") + F.col("n_l") - 2 * share
-    return (F.col("place_e") < F.col("place_l")) & bitmap & length & (F.least("rest_e", "rest_l") >= share)
+    return length & bitmap & (F.least("rest_e", "rest_l") >= share) & (F.struct("id_e", "line_e") < F.struct("id_l", "line_l"))
 
 
 def _side(index: DataFrame, end: str) -> DataFrame:
-    return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "place", "n", "bits", "rest")))
+    return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in index.columns if c != "sig"))
+
+
+PAIR = ("id_e", "line_e", "id_l", "line_l")
 
 
 def leader_pairs(index: DataFrame, similarity: float) -> DataFrame:
     """In groups of ``LED`` rows and more, pairs of the earliest set with each other one: as many as rows, not their square."""
-    first = index.groupBy("sig").agg(F.min(F.struct("place", "set", "n", "bits", "rest")).alias("x"), F.count("*").alias("rows"))
-    leaders = _side(first.where(F.col("rows") >= LED).select("sig", "x.*"), "e")
-    return _side(index, "l").join(leaders.hint("merge"), "sig").where(_pass(similarity)).select("set_e", "set_l").distinct()
-
-
-def candidate_pairs(index: DataFrame, later: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a set of ``later`` with an earlier one that pass all filters, each once."""
-    return _side(later, "l").join(_side(index, "e").hint("merge"), "sig").where(_pass(similarity)).select("set_e", "set_l").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
-    """The sets (column set) that are the later one of a pair with enough similarity."""
-    pairs = store(pairs, "pairs")
-    release(rows.sparkSession)
-    # The whole sets of candidates are cut again from the text of the place where each occurs first.
-    wanted = pairs.select(F.explode(F.array("set_e", "set_l")).alias("set")).distinct().join(sets.select("set", "place"), "set")
-    per_doc = wanted.groupBy(F.col("place.id").alias("at_id")).agg(F.collect_set("place.line").alias("wanted"))
-    texts = rows.join(per_doc.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("at_id")))
-    again = _lines(texts, "wanted").where(F.array_contains("wanted", F.col("line")))
-    whole = _keys(again, ranks).select(F.xxhash64("keys").alias("set"), "keys")
-    whole = store(whole.groupBy("set").agg(F.first("keys").alias("keys")), "whole")
-    release(rows.sparkSession)
-    e, l = whole.toDF("set_e", "keys_e"), whole.toDF("set_l", "keys_l")
-    shared = F.size(F.array_intersect("keys_e", "keys_l"))
-    enough = shared >= (F.size("keys_e") + F.size("keys_l") - shared) * similarity - 1e-9
-    near = store(pairs.join(e, "set_e").join(l, "set_l").where(enough).select(F.col("set_l").alias("set")).distinct(), "near")
-    drop_stored(whole)
-    release(rows.sparkSession)
+    large = store(index.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") >= LED).select("sig"), "large")
+    members = store(index.join(large, "sig"), "members")
+    leaders = store(members.groupBy("sig").agg(F.min(F.struct("id", "line", "n", "bits", "rest")).alias("x")).select("sig", "x.*"), "leaders")
+    pairs = store(_side(members, "l").join(_side(leaders, "e"), "sig").where(_pass(similarity)).select(*PAIR).distinct(), "pairs")
+    drop_stored(large, members, leaders)
+    return pairs
+
+
+def candidate_pairs(index: DataFrame, similarity: float) -> DataFrame:
+    """index with a column ``open``. Pairs of an open set with an earlier one that pass all filters, each once."""
+    later = _side(index, "l")
+    return store(later.join(_side(index, "e").hint("merge"), "sig").where(F.col("open_l") & _pass(similarity)).select(*PAIR).distinct(), "pairs")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """id, line: the places that are the later end of a pair whose words have enough similarity."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"id_{x}").alias("id"), F.col(f"line_{x}").alias("line")) for x in "el"))).alias("p"))
+    wanted = store(ends.groupBy(F.col("p.id").alias("at_id")).agg(F.collect_set("p.line").alias("wanted")), "wanted")
+    # A document is one row on the side of the lines, so that side hashes well; beyond the threshold Spark sorts.
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("at_id"))).select("id", "wanted", F.split(_plain(F.col("t")), "\n").alias("lines"))
+    lines = texts.select("id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("body")))).alias("x"))
+    # A repeated id may have texts of fewer lines.
+    with settings(rows.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+        whole = store(lines.where("x.body IS NOT NULL").select("id", "x.line", F.array_distinct(_words(F.col("x.body"))).alias("words")), "words")
+    out = pairs
+    for x in "el":
+        end = whole.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("words").alias(f"words_{x}"))
+        out = out.join(end, F.col(f"id_{x}").eqNullSafe(F.col("w_id")) & (F.col(f"line_{x}") == F.col("w_line"))).drop("w_id", "w_line")
+    shared = F.size(F.array_intersect("words_e", "words_l"))
+    enough = shared >= (F.size("words_e") + F.size("words_l") - shared) * similarity - 1e-9
+    with settings(rows.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+        near = store(out.where(enough).select(F.col("id_l").alias("id"), F.col("line_l").alias("line")).distinct(), "near")
+    drop_stored(pairs, wanted, whole)
     return near
 
 
-def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """rows: id, t. Returns the lines (id, line, set) and for each set its first place and whether an earlier set is similar (near)."""
+def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int = COMMON) -> DataFrame:
+    """rows: id, t. Returns the places (id, line) whose line has a similar earlier one, stored."""
     if not 0.75 < similarity <= 1:
         raise ValueError("similarity must be over 0.75 and at most 1")
-    ranks = bucket_ranks(rows)
-    cut = store(cut_lines(rows, ranks, similarity), "cut")
-    sets = cut.groupBy("set").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x")).select("set", "place", "x.*")
-    sets = store(sets, "sets")
-    release(rows.sparkSession)
-    near = _similar(leader_pairs(token_index(sets, common), similarity), sets, rows, ranks, similarity)
-    open_sets = sets.join(near, "set", "left_anti")  # sets known to be near an earlier one need no other
-    near = near.unionByName(_similar(candidate_pairs(token_index(sets, common), token_index(open_sets, common), similarity), sets, rows, ranks, similarity))
-    first = sets.select("set", "place").join(near.withColumn("near", F.lit(True)), "set", "left")
-    return cut.select("id", "line", "set"), store(first.withColumn("near", F.coalesce("near", F.lit(False))), "first")
+    ranks, buckets = bucket_ranks(rows, common)
+    hot = ranks.select("hot").first()[0]
+    cut = store(cut_lines(rows, ranks, buckets, similarity), "cut")
+    sets = cut.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x"))
+    sets = store(sets.select("s1", "s2", "place.*", "x.*"), "sets")
+    first = sets.select("s1", "s2", F.struct("id", "line").alias("place"))
+    equal = store(cut.join(first, ["s1", "s2"]).where(F.col("place") < F.struct("id", "line")).select("id", "line"), "equal")
+    drop_stored(cut, ranks)
+    places = sets.select("id", "line", "n", "bits", "prefix")
+    settled = verified(leader_pairs(token_index(places, hot), similarity), rows, similarity)
+    done = settled.select(F.col("id").alias("d_id"), F.col("line").alias("d_line"), F.lit(False).alias("open"))
+    flagged = places.join(done, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("line") == F.col("d_line")), "left")
+    flagged = flagged.select("id", "line", "n", "bits", "prefix", F.coalesce("open", F.lit(True)).alias("open"))
+    near = verified(candidate_pairs(token_index(flagged, hot), similarity), rows, similarity)
+    out = store(equal.unionByName(settled).unionByName(near).distinct(), "similar")
+    drop_stored(sets, equal, settled, near)
+    return out
 
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, common: int = COMMON) -> DataFrame:
     """One row per input row: key, n_lines, n_removed, kept (the lines that stay), kept_sha256."""
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("t"))
-    lines, first = similar_lines(rows, similarity, common)
-    gone = lines.join(first, "set").where(F.col("near") | (F.col("place") < F.struct("id", "line"))).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
-    gone = store(gone, "gone")
-    release(docs.sparkSession)
+    similar = similar_lines(rows, similarity, common)
+    gone = store(similar.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone")), "gone")
+    drop_stored(similar)
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("parts", F.split("t", "\n"))
-    kept = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = out.select("id", F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias("kept"))
-    return out.withColumns({"n_removed": F.greatest("n_removed", F.lit(0).cast("long")), "kept_sha256": F.sha2("kept", 256)}).withColumnRenamed("id", key)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    out = out.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
+    kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("parts", i)), "\n"))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("parts") - F.size("stay")).cast("long")
+    out = out.select("id", F.size("parts").cast("long").alias("n_lines"), n_removed.alias("n_removed"), kept.alias("kept"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).withColumnRenamed("id", key)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from joinlab.llm.common import drop_stored, release, small_batches, store, whole_text
+from joinlab.llm.common import drop_stored, small_batches, store, whole_text
 from joinlab.llm.components import connected_components
 from joinlab.llm.simhash import _LOWER
 
@@ -127,5 +127,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     named = store(units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "named")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = store(named.join(least, "root").select("unit", "component_id"), "component")
-    release(docs.sparkSession)
     return ids.select("id", "unit").join(component, "unit").select(F.col("id").alias(key), "component_id")

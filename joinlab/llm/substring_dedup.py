@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import drop_stored, partitions, release, small_batches, store, table, whole_text
+from joinlab.llm.common import drop_stored, partitions, small_batches, store, table, whole_text
 from joinlab.llm.windows import anchors, window_hashes, word_hashes
 
 WINDOW, GROUP = 13, 6
@@ -62,7 +62,6 @@ class FingerprintIndex:
             (b, g), (a, _) = self.runs.pop(), self.runs.pop()
             self.runs.append((self._write(self.spark.table(a).unionByName(self.spark.table(b))), g + 1))
             self._drop(a, b)
-        release(self.spark)
         return out
 
     def _drop(self, *names: str) -> None:
@@ -115,14 +114,11 @@ def repeated_windows(candidates: DataFrame, window: int, group: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64())], names=["key", "id"])
 
     rows = store(candidates.mapInArrow(run, "key long, id long"), "windows")
-    release(candidates.sparkSession)
     # Pre-aggregated on the map side: a passage of very many documents sends a row a task.
     first = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     first = store(first, "first")
-    release(candidates.sparkSession)
     gone = store(rows.join(first, "key").where("id > first").groupBy("id").agg(F.collect_list("key").alias("keys")), "repeated")
     drop_stored(rows)
-    release(candidates.sparkSession)
     return gone
 
 
@@ -140,7 +136,6 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     for s in shared[1:]:
         hits = hits.unionByName(s)
     per_doc = store(hits.groupBy("id").agg(F.collect_set("fp").alias("fps")), "anchors")
-    release(spark)
     gone = repeated_windows(rows.join(per_doc, "id").select("id", "t", "fps"), window, group)
 
     def run(batches_):
