@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from joinlab.llm import exact_dedup, mixing, near_jaccard, packing, rule_ensemble
+from joinlab.llm import exact_dedup, mixing, packing, rule_ensemble, simhash
 from joinlab.llm.common import partitions, store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
-    scores = rule_ensemble.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    rejected = store(scores.where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the rule ensemble rejects go. A verdict belongs to an id and its text (null ids too), as a score
+    depends on the text alone; without usable labels all stay."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    scores = rule_ensemble.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), text_hash=text_hash)
+    rejected = store(scores.where("predicted = 0").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct(), "rejected")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id")) & (text_hash == F.col("r_hash")), "left_anti").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (Jaccard 0.8 or more on five-word shingles) the document with the smallest id stays.
-    No radius of SimHash covers that similarity, so the join is on the shingles themselves; op7 has its own numbers."""
-    kept = near_jaccard.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
+    Links of the SimHash trees are confirmed on the shingles, and a join on the shingles adds those that no radius of
+    SimHash covers; op7 has its own numbers."""
+    kept = simhash.near_duplicates(docs, shingle=5, confirmed=True).where("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(docs.columns)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinlab.llm.common import store
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """edges: two long columns. Returns node, root: nodes with an edge, equal roots for connected ones.
 
     In each round every node moves to the neighbour (or itself) with the smallest hash drawn for that
@@ -16,7 +18,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
     a chain of any length ends after a logarithmic number of rounds."""
     edges = store(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b").distinct(), "edges")
     moves = []
-    for k in range(rounds):
+    for k in itertools.count():
         if edges.isEmpty():
             break
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))

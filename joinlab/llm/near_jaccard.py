@@ -8,6 +8,9 @@ units hold them, rare ones first; two units that meet the threshold share one of
 ``n - ceil(0.8 n) + 1`` shingles (the prefix). Candidates are verified on whole sets, in whole numbers:
 9 |A and B| >= 4 (|A| + |B|) is Jaccard >= 4 / 5.
 
+Links that SimHash finds (``simhash.links``: vantage-point trees over fingerprints of the same shingles) are verified on
+the sets first, so most near copies are one component before the join begins.
+
 Only components are wanted, so groups that share a prefix shingle meet one centre first, for some rounds with other
 centres while the pairs left are many; pairs across components are then verified all, so the result is exact up to a
 collision of 64-bit hashes.
@@ -27,7 +30,8 @@ from pyspark.sql.window import Window as W
 
 from joinlab.llm.common import drop_stored, small_batches, store, whole_text
 from joinlab.llm.components import connected_components
-from joinlab.llm.simhash import _LOWER
+from joinlab.llm.simhash import _LOWER, majority
+from joinlab.llm.simhash import links as tree_links
 
 SHINGLE = 5
 #: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once.
@@ -37,31 +41,33 @@ MISSING, EXTRA = "(n - (4 * n + 4) div 5)", "(1 + {n} div 20)"
 
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles, A-Z lower-cased; texts of fewer words are one shingle."""
+    """Hashes of the shingles, A-Z lower-cased, repeats included; texts of fewer words are one shingle."""
     words = raw.translate(_LOWER).split()
     text, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if n <= shingle:
         return np.array([digest(text, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
-    return np.unique(np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    return np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, unit (a hash of the set), n and the set itself as hs."""
+    """id, unit (a hash of the set), n, the fingerprint fp and the sorted set itself as hs."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            sets = [shingle_hashes(v.as_py().encode(), shingle) for v in b.column(1)]
-            if not sets:
+            hashes = [shingle_hashes(v.as_py().encode(), shingle) for v in b.column(1)]
+            if not hashes:
                 continue
+            sets = [np.unique(h) for h in hashes]
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
             unit = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int32)
             hs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit), pa.array(n), hs], names=["id", "unit", "n", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit), pa.array(n), pa.array(fp), hs], names=["id", "unit", "n", "fp", "hs"])
 
-    return docs.select(F.col(key).alias("id"), whole_text(text).alias("t")).mapInArrow(run, f"id {kind}, unit long, n int, hs array<long>")
+    return docs.select(F.col(key).alias("id"), whole_text(text).alias("t")).mapInArrow(run, f"id {kind}, unit long, n int, fp long, hs array<long>")
 
 
 def staying_sets(rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -87,11 +93,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("9 * size(array_intersect(ha, hb)) >= 4 * (na + nb)").select("a", "b")
 
 
-def links(sets: DataFrame, rounds: int = ROUNDS, most: int = PAIRS) -> list[DataFrame]:
-    """sets: unit (distinct), n, hs. Tables of pairs a, b that together span every component."""
-    prefix, found = store(prefixes(sets), "prefix"), []
+def fingerprint_pairs(units: DataFrame, sets: DataFrame, max_bits: int) -> DataFrame:
+    """units: unit, fp. The pairs a, b that vantage-point trees or equal fingerprints propose, verified."""
+    unique = store(units.groupBy("fp").agg(F.min("unit").alias("unit")), "unique")
+    one, two = unique.toDF("a", "unit_a"), unique.toDF("b", "unit_b")
+    near = tree_links(unique, max_bits).join(one, "a").join(two, "b").select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"))
+    same = units.select("fp", F.col("unit").alias("b")).join(unique.withColumnRenamed("unit", "a"), "fp").where("a <> b").select("a", "b")
+    pairs = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return store(verified(pairs, sets), "links")
+
+
+def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS, most: int = PAIRS) -> list[DataFrame]:
+    """sets: unit (distinct), n, hs; known: verified pairs. Tables of pairs a, b that together span every component."""
+    prefix, found = store(prefixes(sets), "prefix"), [] if known is None else [known]
     rows = prefix.count()
-    placed = prefix.withColumn("root", F.col("unit"))
+
+    def located() -> DataFrame:
+        if not found:
+            return prefix.withColumn("root", F.col("unit"))
+        roots = connected_components(union(found)).withColumnRenamed("node", "unit")
+        return store(prefix.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "placed")
+
+    placed = located()
     for k in range(rounds):
         own = placed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         if (own.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0) <= most * rows:
@@ -101,8 +124,7 @@ def links(sets: DataFrame, rounds: int = ROUNDS, most: int = PAIRS) -> list[Data
         pairs = placed.join(centre, "h").where("root <> c_root AND 5 * least(n, c_n) >= 4 * greatest(n, c_n)")
         pairs = pairs.select(F.least("unit", "c").alias("a"), F.greatest("unit", "c").alias("b")).distinct()
         found.append(store(verified(pairs, sets), "links"))
-        roots = connected_components(union(found)).withColumnRenamed("node", "unit")
-        placed = store(prefix.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "placed")
+        placed = located()
     other = placed.select("h", F.col("unit").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
     pairs = placed.join(other, "h").where("unit < b AND root <> b_root AND 5 * least(n, b_n) >= 4 * greatest(n, b_n)")
     return [*found, store(verified(pairs.select(F.col("unit").alias("a"), "b").distinct(), sets), "links")]
@@ -115,15 +137,15 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = 4, **options) -> DataFrame:
     """One row per input row: key, component_id, the smallest id of all documents that links of Jaccard 0.8 connect."""
     small_batches(docs.sparkSession)
     rows = store(shingle_sets(docs, key, text, shingle), "sets")
-    ids = store(rows.select("id", "unit", "n"), "ids")
-    units = store(ids.groupBy("unit").agg(F.first("n").alias("n"), F.min("id").alias("first_id")), "units")
+    ids = store(rows.select("id", "unit", "n", "fp"), "ids")
+    units = store(ids.groupBy("unit").agg(F.first("n").alias("n"), F.min("id").alias("first_id"), F.min("fp").alias("fp")), "units")
     sets = store(staying_sets(rows, units), "staying-sets")
     drop_stored(rows)
-    roots = connected_components(union(links(sets, **options)))
+    roots = connected_components(union(links(sets, fingerprint_pairs(units, sets, max_bits), **options)))
     named = store(units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "named")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = store(named.join(least, "root").select("unit", "component_id"), "component")

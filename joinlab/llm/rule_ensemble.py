@@ -9,9 +9,12 @@
 Training reads at most ``max_rows`` labelled rows, the ones with the smallest hash of their id, so the
 driver's share is bounded; scoring covers every row. Labels, language, source and ids are no inputs.
 
-Defined results: a null text counts as empty and has zero for every statistic; without usable labels, or
-with one class only, every score is the share of label 1 (1.0 without labels); repeated rows are scored
-each; several labels of one id count by their mean, rounded; other columns are ignored.
+Defined results: a null text counts as empty and has zero for every statistic; without usable labels, with
+one class only, or where no rule can be drawn (few labels, constant statistics), every score is the share of
+label 1 (1.0 without labels); repeated rows are scored each, and an id trains once (ties between its rows go
+to the least statistics); several labels of one id count by their mean, rounded; a null id is scored, never
+held out and never trains; very long texts are read whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -57,17 +60,18 @@ def stats_of(raw: bytes) -> tuple[float, ...]:
     )
 
 
-def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the key and STATS as doubles."""
-    kind = docs.schema[key].dataType.simpleString()
+def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", **carried) -> DataFrame:
+    """One row per document: the key, STATS as doubles, and ``carried`` columns (name and expression) as they are."""
+    kind, more = docs.schema[key].dataType.simpleString(), list(carried)
 
     def run(batches):
         for b in batches:
             rows = np.array([stats_of(v.as_py().encode()) for v in b.column(1)], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=["key", *STATS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS))), *b.columns[2:]], names=["key", *STATS, *more])
 
-    schema = ", ".join([f"key {kind}", *(f"{s} double" for s in STATS)])
-    return docs.select(F.col(key).alias("key"), whole_text(text).alias("t")).mapInArrow(run, schema)
+    rows_ = docs.select(F.col(key).alias("key"), whole_text(text).alias("t"), *(c.alias(n) for n, c in carried.items()))
+    schema = ", ".join([f"key {kind}", *(f"{s} double" for s in STATS), *(f"{n} {rows_.schema[n].dataType.simpleString()}" for n in carried)])
+    return rows_.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -158,16 +162,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
             inside = Rule(path).holds(x)
             full[inside] = residual[inside].mean() if inside.any() else 0
         margin += 2.0 * full
+    prior = float(np.log(share / (1 - share)))
+    if not found:
+        return RuleModel(prior)  # too few rows, or statistics that do not vary: the share of label 1
     rules = [Rule(p) for p in found]
-    a = np.stack([r.holds(x) for r in rules], 1).astype(np.float64)
-    centre = a.mean(0)
-    scale = np.maximum(a.std(0), 0.05)
-    z = (a - centre) / scale
-    w, b, v, vb, t = np.zeros(z.shape[1]), np.log(share / (1 - share)), np.zeros(z.shape[1]), np.log(share / (1 - share)), 1.0
-    step = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    a = np.empty((len(y), len(rules)), np.float32)  # the one copy of the rule matrix; it is centred and scaled on the fly
+    for k, rule in enumerate(rules):
+        a[:, k] = rule.holds(x)
+    centre = a.mean(0, dtype=np.float64)
+    scale = np.maximum(np.sqrt(centre * (1 - centre)), 0.05)
+    gram = (a.T @ a / len(y) - np.outer(centre, centre)) / np.outer(scale, scale)
+    times = lambda v: a @ (v / scale).astype(np.float32) - (centre / scale) @ v
+    w, b, v, vb, t = np.zeros(len(rules)), prior, np.zeros(len(rules)), prior, 1.0
+    step = 4.0 / (float(np.linalg.eigvalsh(gram)[-1]) + 1)
     for _ in range(steps):
-        e = 1 / (1 + np.exp(-(z @ v + vb))) - y
-        g, gb = z.T @ e / len(y), e.mean()
+        e = 1 / (1 + np.exp(-(times(v) + vb))) - y
+        g, gb = (e.astype(np.float32) @ a - centre * e.sum()) / scale / len(y), e.mean()
         nw = v - step * g
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
         nb = vb - step * gb
@@ -193,16 +203,17 @@ def train(stats: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Ru
     known = known.withColumnRenamed("doc_id", "key").where(~is_held_out())
     # The chosen ids are few, so the statistics meet a short list.
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(max_rows)
-    rows = stats.join(chosen, "key").select("label", *STATS).collect()
-    data = np.array(rows, np.float64).reshape(-1, len(STATS) + 1)
+    # One row an id, however often it is repeated, so max_rows bounds the rows as well.
+    rows = stats.join(chosen, "key").groupBy("key").agg(F.min(F.struct("label", *STATS)).alias("x")).select("x.*").toArrow()
+    data = np.stack([c.to_numpy() for c in rows.columns], 1).astype(np.float64).reshape(-1, len(STATS) + 1)
     data = data[np.lexsort(data.T)]  # the model must not depend on the order in which rows arrive
     return fit(data[:, 1:], data[:, 0])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, held_out, score, predicted."""
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **carried) -> DataFrame:
+    """One row per document: key, held_out, score, predicted, and ``carried`` columns."""
     small_batches(docs.sparkSession)
-    stats = store(text_stats(docs, key, text), "stats")
+    stats = store(text_stats(docs, key, text, **carried), "stats")
     model = train(stats, labels)
     score = model.column()
     return stats.select(
@@ -210,6 +221,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
         F.coalesce(is_held_out(), F.lit(False)).alias("held_out"),
         score.alias("score"),
         F.when(score >= CUTOFF, 1).otherwise(0).alias("predicted"),
+        *carried,
     )
 
 

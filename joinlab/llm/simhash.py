@@ -3,10 +3,10 @@
 Fingerprints: 64 bits by majority over the XXH64 (seed 42) of word shingles.
 
 Pairs: a Hamming distance is the sum of the distances on disjoint slices of the bits, so two fingerprints
-within k bits are within ``k // m`` on one of m slices. For every slice a vantage-point tree cuts the
-fingerprints into shards: at each level a vantage point's slice and the median distance to it decide, and
+within k bits are within ``k // m`` on one of m slices, and equal on m - k of them if m is larger than k. For every
+choice of so many slices a vantage-point tree cuts the fingerprints into shards: at each level a vantage point's slice and the median distance to it decide, and
 by the triangle bound only branches within the slice's radius of the boundary need the point too
-(with the default m = k + 1 that radius is 0 and no point is copied). Inside a shard a vantage-point tree over all
+(with m over k that radius is 0 and no point is copied). Inside a shard a vantage-point tree over all
 64 bits prunes branches by triangle bounds, and points near a boundary (within k) meet across it, so all
 pairs within k bits are found. A shard returns a spanning forest of its links, never all pairs; a shard
 over ``shard_rows`` is cut into chunks and every pair of chunks becomes a task.
@@ -14,12 +14,14 @@ over ``shard_rows`` is cut into chunks and every pair of chunks becomes a task.
 Vantage points and medians come from a bounded sample; they steer balance only, never results.
 
 Defined results: null texts count as empty; texts without words have fingerprint zero, which links like
-any other; repeated rows are all reported; null ids are ignored when the smallest id is sought; an empty
-table gives an empty result; other columns are ignored.
+any other; repeated rows are all reported; null ids are ignored when the smallest id is sought; equal
+fingerprints (ties) are one point; very long texts are hashed whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -48,8 +50,12 @@ def fingerprint(raw: bytes, shingle: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
         hashes = [digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
-    h = np.array(hashes, "<u8")
     for at in range(0, len(h), 4096):
         counts += np.unpackbits(h[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
@@ -140,17 +146,24 @@ def slices(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def intact(n: int, k: int) -> int:
+    """Slices, of one more each time than k, that must agree: more as there are more fingerprints, so that shards stay
+    small (at k = 4: one of 5 slices up to 8 million, two of 6 up to 2 billion, three of 7 beyond)."""
+    return 1 if n <= 1 << 23 else 2 if n <= 1 << 31 else 3
+
+
 def plant_trees(sample: np.ndarray, k: int, m: int, depth: int, seed: int = 1) -> list[dict]:
-    """For each slice its mask, radius and, for each level, a vantage point and the median distance to it."""
+    """For each choice of m - k slices (of one, if m is k or less) its mask, radius and, for each level, a vantage point
+    and the median distance to it."""
     rng, trees = np.random.default_rng(seed), []
-    for shift, width in slices(m):
-        mask = np.uint64(((1 << width) - 1) << shift)
+    for chosen in itertools.combinations(slices(m), max(1, m - k)):
+        mask = np.uint64(sum(((1 << width) - 1) << shift for shift, width in chosen))
         part = sample & mask
         levels = []
         for _ in range(depth):
             v = rng.choice(part) if len(part) else np.uint64(0)
             v = (v ^ np.uint64(int(rng.integers(0, 2**63)))) & mask  # sampled points alone would cluster
-            levels.append((v, int(np.median(_distance(part, v))) if len(part) else width // 2))
+            levels.append((v, int(np.median(_distance(part, v))) if len(part) else 8))
         trees.append({"mask": mask, "radius": k // m, "levels": levels})
     return trees
 
@@ -172,8 +185,9 @@ def shards_of(fp: np.ndarray, trees: list[dict]) -> tuple[np.ndarray, np.ndarray
 
 def links(unique: DataFrame, k: int, m: int | None = None, shard_rows: int = 20_000, target: int = 1024, sample_rows: int = 4096) -> DataFrame:
     """unique: fp (distinct longs). Returns a, b: links that span every component."""
-    m = m or k + 1
-    depth = min(16, max(0, math.ceil(math.log2(max(unique.count(), 1) / target))))
+    n = unique.count()
+    m = m or k + intact(n, k)
+    depth = min(32, max(0, math.ceil(math.log2(max(n, 1) / target))))
     sample = unique.orderBy(F.xxhash64("fp")).limit(sample_rows).toPandas().fp.to_numpy(np.int64).view(np.uint64)
     trees = plant_trees(np.sort(sample), k, m, depth)
 
@@ -199,8 +213,16 @@ def links(unique: DataFrame, k: int, m: int | None = None, shard_rows: int = 20_
     return tasks.groupBy("tree", "shard", "i", "j").applyInPandas(one, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, **options) -> DataFrame:
-    """One row per input row: key, fingerprint, component_id."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, confirmed: bool = False, **options) -> DataFrame:
+    """One row per input row: key, fingerprint, component_id.
+
+    ``confirmed`` asks for the links of Jaccard 0.8 or more on the shingle sets instead: links of the trees are
+    confirmed on the sets, and an exact join of the sets adds those that lie beyond ``max_bits`` (no radius of a
+    fingerprint covers a similarity); the columns are then key and component_id."""
+    if confirmed:
+        from joinlab.llm import near_jaccard
+
+        return near_jaccard.near_duplicates(docs, key, text, shingle, max_bits=max_bits, **options)
     small_batches(docs.sparkSession)
     rows = store(fingerprints(docs, key, text, shingle), "fingerprints")
     unique = store(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "unique")
