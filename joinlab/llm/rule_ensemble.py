@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import small_batches, store, table, whole_text
+from joinlab.llm.common import drop_stored, small_batches, store, table, whole_text
 
 STATS = (
     "n_bytes", "n_words", "mean_word", "distinct_words", "top_word", "repeat_next", "distinct_lines", "words_a_line",
@@ -82,10 +82,8 @@ class Rule:
     weight: float = 0.0
 
     def column(self):
-        out = F.lit(True)
-        for name, at_most, bound in self.tests:
-            out = out & ((F.col(name) <= bound) if at_most else (F.col(name) > bound))
-        return F.when(out, F.lit(self.weight)).otherwise(0.0)
+        tests = " AND ".join(f"{name} {'<=' if at_most else '>'} {bound!r}D" for name, at_most, bound in self.tests)
+        return F.expr(f"if({tests or 'true'}, {self.weight!r}D, 0D)")
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
@@ -101,11 +99,11 @@ class RuleModel:
     rules: list[Rule] = field(default_factory=list)
 
     def column(self):
-        """The score between 0 and 1 as a Spark expression over STATS."""
-        total = F.lit(float(self.intercept))
-        for rule in self.rules:
-            total = total + rule.column()
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        """The score between 0 and 1 as a Spark expression over STATS; the sum is a balanced tree, so plans stay flat."""
+        parts = [F.lit(float(self.intercept)), *(rule.column() for rule in self.rules)]
+        while len(parts) > 1:
+            parts = [sum(parts[i + 1 : i + 2], parts[i]) for i in range(0, len(parts), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-parts[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.intercept)
@@ -215,14 +213,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     small_batches(docs.sparkSession)
     stats = store(text_stats(docs, key, text, **carried), "stats")
     model = train(stats, labels)
-    score = model.column()
-    return stats.select(
-        F.col("key").alias(key),
-        F.coalesce(is_held_out(), F.lit(False)).alias("held_out"),
-        score.alias("score"),
-        F.when(score >= CUTOFF, 1).otherwise(0).alias("predicted"),
-        *carried,
-    )
+    # Stored, so that the rules are compiled and run once and never copied into what is asked of the scores.
+    scores = store(stats.select("key", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), model.column().alias("score"), *carried), "scores")
+    drop_stored(stats)
+    return scores.select(F.col("key").alias(key), "held_out", "score", F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias("predicted"), *carried)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
