@@ -5,7 +5,7 @@ Documents with the same set of shingles are one unit. With its shingles in the o
 least the smaller ``extra`` are common; a partner has 0.8 n shingles or more, so a unit that shares fewer than
 ``extra(ceil(0.8 n))`` of them has no partner and goes. Over the units that stay, shingles are ordered by how many
 units hold them, rare ones first; two units that meet the threshold share one of the first
-``n - ceil(0.8 n) + 1`` shingles (the prefix). Candidates are verified on whole sets, in whole numbers:
+``n - ceil(0.8 n) + 1`` shingles (the prefix), and as many of them as ``LEAST_SHARED`` says. Candidates are verified on whole sets, in whole numbers:
 9 |A and B| >= 4 (|A| + |B|) is Jaccard >= 4 / 5.
 
 Links that SimHash finds (``simhash.links``: vantage-point trees over fingerprints of the same shingles) are verified on
@@ -39,6 +39,10 @@ ROUNDS, PAIRS = 6, 4
 #: Shingles that a set of n may miss in a partner, and those of the first filter beyond them.
 MISSING, EXTRA = "(n - (4 * n + 4) div 5)", "(1 + {n} div 20)"
 
+#: Prefix shingles that two sets of n and b_n must share: up to the end of the prefix that ends first, all shared ones are
+#: in both prefixes, and beyond it that set has its other ceil(0.8 n) - 1 shingles at most.
+LEAST_SHARED = "(4 * (n + b_n) + 8) div 9 - greatest((4 * n + 4) div 5, (4 * b_n + 4) div 5) + 1"
+
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles, A-Z lower-cased, repeats included; texts of fewer words are one shingle."""
@@ -122,12 +126,15 @@ def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS,
         draw = F.struct(F.xxhash64(F.lit(k), "unit"), "unit", "root", "n")
         centre = placed.groupBy("h").agg(F.min(draw).alias("c")).select("h", F.col("c.unit").alias("c"), F.col("c.root").alias("c_root"), F.col("c.n").alias("c_n"))
         pairs = placed.join(centre, "h").where("root <> c_root AND 5 * least(n, c_n) >= 4 * greatest(n, c_n)")
-        pairs = pairs.select(F.least("unit", "c").alias("a"), F.greatest("unit", "c").alias("b")).distinct()
+        # A round only saves work, so a unit tries one centre, the one that it shares most with.
+        pairs = pairs.groupBy("unit", "c").agg(F.count("*").alias("k")).groupBy("unit").agg(F.max(F.struct("k", "c")).alias("best"))
+        pairs = pairs.select(F.least("unit", "best.c").alias("a"), F.greatest("unit", "best.c").alias("b")).distinct()
         found.append(store(verified(pairs, sets), "links"))
         placed = located()
     other = placed.select("h", F.col("unit").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
     pairs = placed.join(other, "h").where("unit < b AND root <> b_root AND 5 * least(n, b_n) >= 4 * greatest(n, b_n)")
-    return [*found, store(verified(pairs.select(F.col("unit").alias("a"), "b").distinct(), sets), "links")]
+    shared = pairs.groupBy(F.col("unit").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("b_n").alias("b_n"))
+    return [*found, store(verified(shared.where(f"k >= {LEAST_SHARED}").select("a", "b"), sets), "links")]
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
