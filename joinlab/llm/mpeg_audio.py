@@ -4,7 +4,11 @@ checksums, exact durations and frame seek offsets.
 ``parse`` reads any byte string. ``wrap`` stores arbitrary bytes losslessly in a valid MPEG-1 Layer III
 stream: silent frames (all part lengths zero) whose main-data area holds the payload, each frame with its
 CRC-16, behind an ID3v2 tag with the exact sizes and a Xing frame with counts and a seek table. If the payload
-puts "TAG" where an ID3v1 tag would start, an empty ID3v1 tag closes the stream, so that no payload is taken for one.
+puts "TAG" where an ID3v1 tag would start, an empty ID3v1 tag closes the stream, so that no reader takes payload for one.
+
+Defined results: null and empty texts give a payload of 64 zero bytes, null media read as no bytes; very long texts are
+as many frames as they take; repeated rows and equal texts (ties) give equal media and fields; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,29 +70,91 @@ def crc16(data: bytes) -> int:
     return r
 
 
-def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Text tags, first byte after leading ID3v2 tags, end of the audio before an ID3v1 tag."""
-    found, at, end = {}, 0, len(data)
-    while data[at : at + 3] == b"ID3" and at + 10 <= end:
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum over the first so many bits."""
+    r = crc16(data[: bits // 8])
+    for i in range(bits % 8):
+        r = ((r << 1) ^ (0x8005 if (r >> 15 ^ data[bits // 8] >> (7 - i)) & 1 else 0)) & 0xFFFF
+    return r
+
+
+#: Fixed values of the format: bits of an allocation by subband, as (subbands, bits) in order, for layer II.
+ALLOCATIONS = {
+    "a": ((3, 4), (8, 4), (12, 3), (4, 2)),
+    "b": ((3, 4), (8, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def checked_bits(word: int, body: bytes) -> int:
+    """Bits after the checksum that it covers in layers I and II: the allocations, and layer II's scale factor choices.
+    ``body`` begins after the checksum."""
+    _, _, hertz, _, _, layer, kbit = header(word)
+    mode, bound = (word >> 6) & 3, ((word >> 4) & 3) * 4 + 4
+    channels = 1 if mode == 3 else 2
+    if layer == 1:
+        widths = [4] * 32
+    else:
+        each = kbit // channels
+        if not word >> 19 & 1:
+            name = "lsf"
+        elif hertz == 48000 and each >= 56 or 56 <= each <= 80:
+            name = "a"
+        elif hertz != 48000 and each >= 96:
+            name = "b"
+        else:
+            name = "c" if hertz != 32000 and each <= 48 else "d"
+        widths = [w for n, w in ALLOCATIONS[name] for _ in range(n)]
+    fields = [(w, channels if sb < bound else 1) for sb, w in enumerate(widths)] if mode == 1 else [(w, channels) for w in widths]
+    total = sum(w * n for w, n in fields)
+    if layer == 2:
+        all_bits, at, chosen = int.from_bytes(body[: total // 8 + 1], "big"), (total // 8 + 1) * 8, 0
+        for w, n in fields:
+            for _ in range(n):
+                at -= w
+                chosen += ((all_bits >> at) & ((1 << w) - 1) != 0) * (channels if n < channels else 1)
+        total += 2 * chosen
+    return total
+
+
+def _synchsafe(raw: bytes) -> int:
+    return sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
+
+
+def _tags(data: bytes) -> tuple[dict[str, str], int]:
+    """Text tags of the leading ID3v2 tags (2.2 to 2.4), and the first byte after them."""
+    found, at = {}, 0
+    while data[at : at + 3] == b"ID3" and at + 10 <= len(data):
         major, flags = data[at + 3], data[at + 5]
-        size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
+        size = _synchsafe(data[at + 6 : at + 10])
         body, p = data[at + 10 : at + 10 + size], 0
-        while p + 10 <= len(body) and body[p : p + 4].isalnum():
-            raw = body[p + 4 : p + 8]
-            n = sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major == 4 else int.from_bytes(raw, "big")
-            name, value = body[p : p + 4].decode("latin-1"), body[p + 10 : p + 10 + n]
+        if flags & 0x80 and major < 4:
+            body = body.replace(b"\xff\0", b"\xff")  # unsynchronised as a whole
+        if flags & 0x40 and major > 2 and len(body) >= 4:
+            p = _synchsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+        letters, head = (3, 6) if major == 2 else (4, 10)
+        while p + head <= len(body) and body[p : p + letters].isalnum():
+            raw = body[p + letters : p + 2 * letters]
+            n = _synchsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+            name, value = body[p : p + letters].decode("latin-1"), body[p + head : p + head + n]
+            if major == 4 and body[p + 9] & 2:
+                value = value[4 if body[p + 9] & 1 else 0 :].replace(b"\xff\0", b"\xff")
             if name[0] == "T" and value:
                 text = value[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1"), "replace")
-                key, _, text = text.partition("\0") if name == "TXXX" else (name, "", text)
+                key, _, text = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
                 found[key] = text.rstrip("\0")
-            p += 10 + n
+            p += head + n
         at += 10 + size + (10 if flags & 0x10 else 0)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if text := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
-                found.setdefault(key, text)
-    return found, at, end
+    return found, at
+
+
+def _trailer(data: bytes, at: int, tags: dict[str, str]) -> None:
+    """Adds what an ID3v1 tag at this place says; ID3v2 tags win."""
+    for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+        if text := data[at + a : at + b].rstrip(b"\0 ").decode("latin-1"):
+            tags.setdefault(key, text)
 
 
 def _vbr(data: bytes, at: int, side: int, protected: bool) -> dict | None:
@@ -113,20 +179,28 @@ def _vbr(data: bytes, at: int, side: int, protected: bool) -> dict | None:
 def parse(data: bytes) -> dict:
     """Everything the media columns hold, and the bytes of the frames' main-data areas joined.
 
-    A header counts if the next frame, or the end of the audio, follows where its length says; otherwise
-    the walk looks for the next sync word. Cut last frames are dropped.
+    A header counts if the next frame, an ID3v1 tag or the end follows where its length says; otherwise the walk
+    looks for the next sync word. "TAG" 128 bytes before the end is a tag only where no frame lies over it. Cut last
+    frames and free-format frames (no rate in the header) are skipped and counted.
     """
-    tags, at, end = _tags(data)
+    tags, at = _tags(data)
+    end = len(data)
+    trailer = end - 128 if end - 128 >= at and data[end - 128 : end - 125] == b"TAG" else -1
     offsets, bodies, kbits = [], [], set()
-    skipped, good, bad, samples, hertz, layers, vbr, body_frames = 0, 0, 0, Fraction(0), 0, set(), None, 0
+    skipped, good, bad, samples, hertz, layers, vbr = 0, 0, 0, Fraction(0), 0, set(), None
     synced = False
-    while at + 4 <= end:
-        info = header(int.from_bytes(data[at : at + 4], "big"))
+    while at < end:
+        if at == trailer:
+            _trailer(data, at, tags)
+            at = end
+            break
+        info = header(int.from_bytes(data[at : at + 4], "big")) if at + 4 <= end else None
         nxt = at + info[0] if info else 0
-        sure = info and nxt <= end and (synced or nxt + 4 > end or header(int.from_bytes(data[nxt : nxt + 4], "big")))
+        sure = info and nxt <= end and (synced or nxt + 4 > end or nxt == trailer or header(int.from_bytes(data[nxt : nxt + 4], "big")))
         if not sure:
             synced, step = False, data.find(b"\xff", at + 1, end)
             step = step if step > 0 else end
+            step = trailer if at < trailer < step else step
             skipped, at = skipped + step - at, step
             continue
         size, n, rate, protected, side, layer, kbit = info
@@ -134,18 +208,17 @@ def parse(data: bytes) -> dict:
         if not offsets and not vbr and layer == 3 and (vbr := _vbr(data, at, side, protected)):
             at, synced = nxt, True  # a frame that only describes the rest
             continue
-        if protected and layer == 3:
-            if crc16(data[at + 2 : at + 4] + data[at + 6 : start]) == int.from_bytes(data[at + 4 : at + 6], "big"):
-                good += 1
-            else:
-                bad += 1
+        if protected:
+            bits = 8 * side if layer == 3 else checked_bits(int.from_bytes(data[at : at + 4], "big"), data[at + 6 : nxt])
+            part = data[at + 2 : at + 4] + data[at + 6 : min(nxt, at + 7 + bits // 8)]
+            right = len(part) * 8 >= 16 + bits and crc16_bits(part, 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+            good, bad = good + right, bad + (not right)
         offsets.append(at)
         bodies.append(data[start:nxt])
         samples += Fraction(n, rate)
         kbits.add(kbit)
         layers.add(layer)
         hertz, at, synced = rate, nxt, True
-    skipped += max(0, end - at)
     return {
         "tags": tags, "vbr": vbr, "offsets": offsets, "body": b"".join(bodies), "duration": samples, "sample_rate": hertz,
         "crc_good": good, "crc_bad": bad, "skipped": skipped, "kbits": sorted(kbits), "layers": sorted(layers),
