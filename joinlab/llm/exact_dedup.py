@@ -5,12 +5,12 @@
    binary-fuse filter a bucket; the filters are stored and never change.
 3. The new batch is grouped by itself first. Its distinct digests meet the filter of their bucket:
    negatives are certainly new; positives join the snapshot's exact buckets.
-4. Texts under a digest that occurs twice anywhere are compared byte for byte: they are grouped by
-   (digest, text), which also collapses large groups of copies before the shuffle.
+4. Texts under a digest that occurs twice anywhere are compared byte for byte: they are grouped by (digest, salt,
+   text), so a large group of copies meets in no single task, and then by (digest, text).
 
 Of equal texts the row with the largest id stays. Defined results: a null text counts as empty; rows
-repeated with the same id are all reported and one of them is kept; null ids rank below all others;
-an empty table gives an empty result; other columns are ignored.
+repeated with the same id are all reported and one of them is kept (ties by id); null ids rank below all others;
+very long texts are compared whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlab.llm import binary_fuse
-from joinlab.llm.common import store, table, whole_text
+from joinlab.llm.common import settings, store, table, whole_text
 
 #: Digests that one filter holds at most, on average: 1.13 MB of filter.
 BUCKET_KEYS = 1_000_000
+#: Tasks that copies of one text are dealt over.
+SALTS = 16
 
 
 def _key64(digests: pd.Series) -> np.ndarray:
@@ -69,14 +71,20 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", incomi
     rows = store(docs.select(F.col(key).alias("id"), F.unhex(F.sha2(whole_text(text), 256)).alias("digest"), new_row), "digests")
     groups = lambda part: part.groupBy("digest").agg(F.count("*").alias("n"))
     old, new = groups(rows.where("not new")), groups(rows.where("new"))
-    buckets = rows.where("not new").count() // BUCKET_KEYS + 16
+    # Buckets follow the larger side, so that neither a large snapshot nor a large batch makes large groups.
+    sides = rows.groupBy("new").count().collect()
+    buckets = max((r["count"] for r in sides), default=0) // BUCKET_KEYS + 16
     filters = store(build_filters(old, buckets), "filters")
     known = screen(new, filters, buckets).join(old.select("digest"), "digest")
     repeated = known.unionByName(old.where("n > 1").select("digest")).unionByName(new.where("n > 1").select("digest")).distinct()
     repeated = store(repeated, "repeated")
-    # The digest filter runs as a shuffled hash join whose build side is the short digest list.
-    texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    same = texts.join(repeated.hint("shuffle_hash"), "digest").groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Copies of one text are dealt over SALTS tasks; each sends one row a text on.
+    salt = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).alias("salt")
+    texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("body"), salt).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    with settings(docs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="32m"):  # hashed up to this size, else sorted
+        part = store(texts.join(dealt, ["digest", "salt"]).groupBy("digest", "salt", "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")), "parts")
+    same = part.groupBy("digest", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # Stored, so that the join below has an exchange on both sides and a hot digest can be split.
     same = store(same.select("digest", "keep_id", "group_size"), "groups")
     # Copies with one id collapse to one row with a count, so exactly one of them can be the kept one.
