@@ -3,7 +3,11 @@
 Stages but the last return the columns of ``documents``. SQL cannot express the classifier, the fingerprints or the
 tokenizer, so ORACLE_SQL is None and tests hold each stage against a plain version.
 
-Ids are expected to be unique; rows with one id share the fate that stages 1 and 3 give to the id; stage 4 takes every row by itself.
+Defined results: ids are expected to be unique; rows with one id share the fate that stage 3 gives to the id (stage 1 looks
+at id and text, stage 4 takes every row by itself). Null and empty texts pass or fail stage 1 by the score of an empty
+text, are one text in stages 2 and 3, and leave in stage 4, as a mix takes words and they have none. Rows with a null id
+leave stage 3 if all of them are near duplicates of rows with ids; very long texts are read whole; an empty table
+gives empty results; tables with more columns than ``documents`` keep them up to the last stage.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = W.partitionBy("row").orderBy("n_chars")
     rows = rows.withColumn("copy", F.row_number().over(once)).where("copy = 1").join(takes, "row")
     slices = max(8, partitions(spark) // mixing.SHARDS)  # slices of a shard, so that partitions stay small at any size
-    shuffled = rows.repartition("take.shard", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("take.shard", F.xxhash64("doc_id", "take.pass"))
+    shuffled = rows.repartition("take.shard", F.pmod(F.col("take.place"), F.lit(slices))).sortWithinPartitions("take.shard", "take.place")
     return shuffled.select(docs.columns)
 
 

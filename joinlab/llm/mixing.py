@@ -11,8 +11,9 @@ Only blocks are counted and ranked (at most BLOCKS rows a source), and a row-lev
 one block of one source, so a source with a third of all rows is spread over all blocks.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; null ids
-share one place in the permutation; repeated rows are taken each; an empty table gives an empty mix; if
-no document has a word, all targets are 0; other columns are ignored.
+share one place in the permutation (ties go by size); repeated rows are taken each; an empty table gives an empty mix;
+if no document has a word, all targets are 0; very long texts are counted whole and one may end its source's target
+alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,16 @@ from joinlab.llm.common import WORD, store, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-#: Hex digits of a block's name; 16 ** 3 = 4096 blocks a source.
-BLOCK_DIGITS = 3
+#: Hex digits of a block's name, 4,096 blocks a source; rows from which it has one more; the most digits.
+BLOCK_DIGITS, ROWS_A_DIGIT, MOST_DIGITS = 3, 1 << 28, 4
 SHARDS = 16
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def block_digits(rows: int) -> int:
+    return min(MOST_DIGITS, BLOCK_DIGITS + (rows > ROWS_A_DIGIT))
+
+
+def sized(docs: DataFrame, key: str, text: str, source: str, keep: tuple[str, ...] = (), digits: int = BLOCK_DIGITS) -> DataFrame:
     order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":mix")))
     return docs.select(
         F.col(key).alias("id"),
@@ -38,7 +43,7 @@ def sized(docs: DataFrame, key: str, text: str, source: str, keep: tuple[str, ..
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("src"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("place"),
-        F.substring(order, 1, BLOCK_DIGITS).alias("block"),
+        F.substring(order, 1, digits).alias("block"),
         *(F.col(c).alias(f"keep_{c}") for c in keep),
     )
 
@@ -93,9 +98,9 @@ def split_units(counts: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 0, keep: tuple[str, ...] = (), **shares) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken, takes, and the columns named in ``keep``.
 
-    ``takes`` lists (pass, shard, words) of the row's copies in the mix; words are fewer than the size only
-    for the one document where a source's target ends."""
-    rows = store(sized(docs, key, text, source, keep), "sized")
+    ``takes`` lists (pass, shard, words, place) of the row's copies in the mix; words are fewer than the size only
+    for the one document where a source's target ends; ``place`` orders a shard's rows at random."""
+    rows = store(sized(docs, key, text, source, keep, block_digits(docs.count())), "sized")
     blocks = rows.groupBy("src", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("n"))
     blocks = store(blocks, "blocks")
     targets = source_targets(blocks, **shares)
@@ -120,7 +125,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     inside = W.partitionBy("src", "block").orderBy("place", "size", "id").rowsBetween(W.unboundedPreceding, 0)
     out = rows.withColumn("before", F.sum("size").over(inside) - F.col("size")).join(dealt, ["src", "block"], "left").join(targets, "src")
     takes = F.expr("""filter(transform(coalesce(units, array()), u -> named_struct('pass', u.pass, 'shard', u.shard,
-        'words', if(u.room IS NULL, size, greatest(0L, least(size, u.room - before))))), t -> t.words > 0)""")
+        'words', if(u.room IS NULL, size, greatest(0L, least(size, u.room - before))), 'place', xxhash64(place, u.pass))), t -> t.words > 0)""")
     return out.withColumn("takes", takes).select(
         F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target",
         F.expr("aggregate(takes, 0L, (a, t) -> a + t.words)").alias("taken"), "takes",
