@@ -1,7 +1,8 @@
 """A small predicate language over columns: ten comparisons, AND, OR and NOT, rendered as Spark columns.
 
 ``two_valued_not``: NOT of an unknown comparison is true (NULL rows stay). ``strict_like``: ``%`` and
-``_`` do not match a line feed, and a backslash in a pattern is an ordinary character.
+``_`` do not match a line feed, and a backslash in a pattern is an ordinary character. ``strict_types``: a comparison
+of a column with a value of another type is false, where Spark would cast one of them or raise.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ SIGNS = {"eq": "=", "neq": "!=", "lt": "<", "gt": ">", "leq": "<=", "geq": ">=",
 class Options:
     two_valued_not: bool = False
     strict_like: bool = False
+    strict_types: bool = False
+
+
+#: Spark's type names that a value of each Python type compares with under ``strict_types``.
+KINDS = {bool: ("boolean",), int: ("tinyint", "smallint", "int", "bigint"), float: ("float", "double"), str: ("string",)}
 
 
 class Predicate:
@@ -43,7 +49,7 @@ def _like(col: Column, pattern: str, options: Options) -> Column:
     if options.strict_like:
         return col.rlike(like_regex(pattern))
     if "\\" in pattern:
-        escape = next(c for c in "~^`|!" if c not in pattern)
+        escape = next(c for c in map(chr, range(33, 0x10FFFF)) if c not in "%_\\" and c not in pattern)
         return F.like(col, F.lit(pattern), F.lit(escape))
     return col.like(pattern)
 
@@ -66,8 +72,12 @@ class Comparison(Predicate):
             return c.isNotNull()
         if self.op in ("like", "not_like"):
             hit = _like(c, v, options)
-            return hit if self.op == "like" else ~hit
-        return {"eq": c == v, "neq": c != v, "lt": c < v, "gt": c > v, "leq": c <= v, "geq": c >= v}[self.op]
+            hit = hit if self.op == "like" else ~hit
+        else:
+            hit = {"eq": c == v, "neq": c != v, "lt": c < v, "gt": c > v, "leq": c <= v, "geq": c >= v}[self.op]
+        if options.strict_types and type(v) in KINDS:
+            return F.when(F.typeof(c).isin(*KINDS[type(v)]), hit).otherwise(F.lit(False))
+        return hit
 
     def pretty(self) -> str:
         if self.op.startswith("is_"):
@@ -115,5 +125,20 @@ def between(column: str, low, high) -> Predicate:
     return Comparison(column, "geq", low) & Comparison(column, "leq", high)
 
 
+class OneOf(Or):
+    """An OR of equalities on one column, rendered as IN, which has no depth and is pushed down as one filter."""
+
+    def to_column(self, resolve=F.col, options: Options = Options()) -> Column:
+        if options.strict_types:
+            by_type = {type(p.value): [q.value for q in self.parts if type(q.value) is type(p.value)] for p in self.parts}
+            c = resolve(self.parts[0].column)
+            hits = [F.when(F.typeof(c).isin(*KINDS[k]), c.isin(*v)).otherwise(F.lit(False)) for k, v in by_type.items()]
+            out = hits[0]
+            for h in hits[1:]:
+                out = out | h
+            return out
+        return resolve(self.parts[0].column).isin(*(p.value for p in self.parts))
+
+
 def one_of(column: str, *values) -> Predicate:
-    return Or(tuple(Comparison(column, "eq", v) for v in values)) if len(values) > 1 else Comparison(column, "eq", values[0])
+    return OneOf(tuple(Comparison(column, "eq", v) for v in values)) if len(values) > 1 else Comparison(column, "eq", values[0])

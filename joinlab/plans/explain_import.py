@@ -31,6 +31,8 @@ def import_plan(tree: dict, query: Query, tables: dict[str, DataFrame], honour_b
             df = tables[query.aliases[alias]]
             for predicate in query.filters.get(alias, []):
                 df = df.where(predicate.to_column(lambda c: F.col(c.split(".")[-1]), options))
+            for x, y in query.graph.within(alias):
+                df = df.where(F.col(x) == F.col(y))
             return df.select(*(F.col(c).alias(f"{alias}.{c}") for c in df.columns)), {alias}
         if kind in ("Nested Loop", "Merge Join"):
             raise PlanError(f"{kind} is not supported")

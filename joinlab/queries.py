@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlab.functions.predicates import Comparison, Not, Options, between, one_of
+from joinlab.operators.compare import bag_difference
 from joinlab.plans.explain_import import import_plan
 from joinlab.plans.plan import Plan
 from joinlab.plans.sql_subset import parse, run_sql
@@ -90,7 +91,7 @@ _filter("filter_neq", "orders", C("o_orderstatus", "neq", "F"), "o_orderkey, o_o
 _filter("filter_lt", "part", C("p_size", "lt", 10), "p_partkey, p_size", "p_size < 10")
 _filter("filter_lt_str", "orders", C("o_orderpriority", "lt", "3"), "o_orderkey, o_orderpriority", "o_orderpriority < '3'")
 _filter("filter_gt", "lineitem", C("l_quantity", "gt", 45.0), "l_orderkey, l_linenumber, l_quantity", "l_quantity > 45.0")
-_filter("filter_le", "orders", C("o_orderkey", "leq", 500), "o_orderkey", "o_orderkey <= 500")
+_filter("filter_le", "orders", C("o_totalprice", "leq", 150000.0), "o_orderkey, o_totalprice", "o_totalprice <= 150000.0")
 _filter("filter_ge", "customer", C("c_acctbal", "geq", 9000.0), "c_custkey, c_acctbal", "c_acctbal >= 9000.0")
 for _name, _pattern in {"prefix": "blue%", "suffix": "%widget", "infix": "%n%", "multi": "%l%e%t%", "underscore": "c_ld %"}.items():
     _filter(f"filter_like_{_name}", "part", C("p_name", "like", _pattern), "p_partkey, p_name", f"p_name LIKE '{_pattern}'")
@@ -153,11 +154,11 @@ def _sql(name: str, text: str, mode: str = "agg", oracle: str | None = None) ->
 
 
 _sql("join_self", "SELECT n1.n_name AS name_a, n2.n_name AS name_b FROM nation AS n1, nation AS n2 WHERE n1.n_regionkey = n2.n_regionkey AND n1.n_name = 'NATION_3'")
-_sql("join_leftdeep3", "SELECT o.o_orderkey AS k, c.c_name AS c, n.n_name AS n FROM nation AS n, customer AS c, orders AS o WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND n.n_nationkey < 5")
+_sql("join_leftdeep3", "SELECT o.o_orderkey AS k, c.c_name AS c, n.n_name AS n FROM nation AS n, customer AS c, orders AS o WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey")
 _CHAIN = "FROM region AS r, nation AS n, customer AS c, orders AS o, lineitem AS l WHERE r.r_regionkey = n.n_regionkey AND n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND r.r_name = 'ASIA'"
 _sql("join_chain", f"SELECT n.n_name AS n, o.o_orderkey AS o, l.l_linenumber AS l, l.l_quantity AS q {_CHAIN}")
 _sql("join_star", "SELECT l.l_orderkey AS o, l.l_linenumber AS l, p.p_name AS p, s.s_name AS s FROM lineitem AS l, part AS p, supplier AS s, orders AS o WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND l.l_orderkey = o.o_orderkey AND p.p_size < 10 AND o.o_orderstatus = 'F'")
-_sql("join_equiv_class", "SELECT c.c_custkey AS c, s.s_suppkey AS s, n.n_name AS n FROM customer AS c, supplier AS s, nation AS n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey AND c.c_nationkey = s.s_nationkey AND n.n_nationkey IN (1, 2)")
+_sql("join_equiv_class", "SELECT c.c_custkey AS c, s.s_suppkey AS s, n.n_name AS n FROM customer AS c, supplier AS s, nation AS n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey AND c.c_nationkey = s.s_nationkey")
 _sql("join_wide", "SELECT n1.n_name AS n1, n2.n_name AS n2, r1.r_name AS r1, r2.r_name AS r2, o.o_orderkey AS o, l.l_linenumber AS l, p.p_name AS p FROM region AS r1, region AS r2, nation AS n1, nation AS n2, supplier AS s, customer AS c, orders AS o, lineitem AS l, part AS p, orders AS o2 WHERE r1.r_regionkey = n1.n_regionkey AND r2.r_regionkey = n2.n_regionkey AND s.s_nationkey = n1.n_nationkey AND c.c_nationkey = n2.n_nationkey AND o.o_custkey = c.c_custkey AND l.l_orderkey = o.o_orderkey AND l.l_suppkey = s.s_suppkey AND l.l_partkey = p.p_partkey AND o2.o_orderkey = o.o_orderkey AND r1.r_name = 'ASIA' AND r2.r_name = 'EUROPE' AND p.p_size BETWEEN 1 AND 25")
 _sql("select_columns", f"SELECT o.o_orderkey AS o_orderkey, c.c_name AS c_name {_CHAIN}")
 _sql("select_min_agg", f"SELECT MIN(o.o_totalprice) AS min_price, MIN(c.c_name) AS min_name {_CHAIN}")
@@ -196,3 +197,35 @@ def plan_import(spark, sf_dir):
     orders = _node("Hash Join", _leaf("orders", "o"), _node("Hash", people))
     tree = _node("Aggregate", _node("Gather", _node("Hash Join", _leaf("lineitem", "l"), _node("Hash", orders))))
     return import_plan({"Plan": tree}, query, tables)
+
+
+def _imported(name: str, text: str, *order: tuple[str, str]) -> None:
+    """A left-deep tree over (table, alias) in this order, through the plan import."""
+
+    def run(spark, sf_dir):
+        tables = {t: _t(spark, sf_dir, t) for t in dict(order)}
+        (t, a), *rest = order
+        tree = _leaf(t, a)
+        for t, a in rest:
+            tree = _node("Hash Join", _leaf(t, a), _node("Hash", tree))
+        return import_plan({"Plan": tree}, parse(text, {t: df.columns for t, df in tables.items()}), tables)
+
+    _query(name, text)(run)
+
+
+_imported("plan_import_equiv_class", "SELECT c.c_custkey AS c, s.s_suppkey AS s, n.n_name AS n FROM customer AS c, supplier AS s, nation AS n WHERE c.c_nationkey = n.n_nationkey AND s.s_nationkey = n.n_nationkey AND c.c_nationkey = s.s_nationkey", ("supplier", "s"), ("customer", "c"), ("nation", "n"))
+_imported("plan_import_same_alias", "SELECT n.n_nationkey AS n, n.n_name AS name, r.r_name AS r FROM nation AS n, region AS r WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey = r.r_regionkey", ("nation", "n"), ("region", "r"))
+_imported("plan_import_two_columns", "SELECT c.c_custkey AS c, o.o_orderkey AS o, n.n_name AS n FROM customer AS c, orders AS o, nation AS n WHERE c.c_custkey = o.o_custkey AND c.c_nationkey = n.n_nationkey AND n.n_regionkey = c.c_nationkey", ("nation", "n"), ("customer", "c"), ("orders", "o"))
+_filter("filter_in_long", "orders", one_of("o_orderkey", *range(0, 9000, 3)), "o_orderkey, o_totalprice", "o_orderkey < 9000 AND o_orderkey >= 0 AND o_orderkey % 3 = 0")
+_filter("filter_strict_types", "customer", C("c_name", "eq", 5) | C("c_nationkey", "eq", 7), "c_custkey, c_nationkey", "c_nationkey = 7", Options(strict_types=True))
+
+
+@_query("compare_bags", "SELECT '1 distinct rows differ, 1 counting repeats' AS difference")
+def compare_bags(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation")
+    return spark.createDataFrame([(x,) for x in bag_difference(nation, nation.unionByName(nation.orderBy("n_nationkey").limit(1)))], "difference string")
+
+
+@_query("predicate_text", "SELECT '((p_size > 10 AND NOT p_name LIKE ''%e%'') OR p_brand IS NULL)' AS text")
+def predicate_text(spark, sf_dir):
+    return spark.createDataFrame([(((C("p_size", "gt", 10) & Not(C("p_name", "like", "%e%"))) | C("p_brand", "is_null")).pretty(),)], "text string")
