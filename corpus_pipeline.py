@@ -3,8 +3,8 @@
 Stages but the last return the columns of ``documents``. SQL cannot express the classifier, the fingerprints or the
 tokenizer, so ORACLE_SQL is None and tests hold each stage against a plain version.
 
-Defined results: ids are expected to be unique; rows with one id share the fate that stage 3 gives to the id (stage 1 looks
-at id and text, stage 4 takes every row by itself). Null and empty texts pass or fail stage 1 by the score of an empty
+Defined results: ids are expected to be unique; rows with one id share the fate that stage 3 gives to the id (stages 1
+and 4 take every row by itself). Null and empty texts pass or fail stage 1 by the score of an empty
 text, are one text in stages 2 and 3, and leave in stage 4, as a mix takes words and they have none. Rows with a null id
 leave stage 3 if all of them are near duplicates of rows with ids; very long texts are read whole; an empty table
 gives empty results; tables with more columns than ``documents`` keep them up to the last stage.
@@ -21,12 +21,8 @@ from joinlab.llm.common import partitions, store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go. A verdict belongs to an id and its text (null ids too), as a score
-    depends on the text alone; without usable labels all stay."""
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    scores = rule_ensemble.score_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), text_hash=text_hash)
-    rejected = store(scores.where("predicted = 0").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id")) & (text_hash == F.col("r_hash")), "left_anti").select(docs.columns)
+    """Documents that the rule ensemble rejects go, null ids too; without usable labels all stay."""
+    return rule_ensemble.accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

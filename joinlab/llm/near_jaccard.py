@@ -21,6 +21,8 @@ when the smallest id is sought; repeated rows are all reported; an empty table g
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from joinlab.llm.common import drop_stored, small_batches, store, whole_text
+from joinlab.llm.common import drop_stored, settings, small_batches, store, whole_text
 from joinlab.llm.components import connected_components
 from joinlab.llm.simhash import _LOWER, majority
 from joinlab.llm.simhash import links as tree_links
 
 SHINGLE = 5
-#: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once.
-ROUNDS, PAIRS = 6, 4
+#: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once. Rounds also end when one
+#: leaves more than half of the pairs: those are then of documents that share passages and are not similar.
+ROUNDS, PAIRS = 6, 16
 #: Shingles that a set of n may miss in a partner, and those of the first filter beyond them.
 MISSING, EXTRA = "(n - (4 * n + 4) div 5)", "(1 + {n} div 20)"
 
@@ -66,7 +69,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 continue
             sets = [np.unique(h) for h in hashes]
             fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            unit = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            unit = np.maximum(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), 1 - 2**63)
             n = np.array([len(s) for s in sets], np.int32)
             hs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit), pa.array(n), pa.array(fp), hs], names=["id", "unit", "n", "fp", "hs"])
@@ -80,7 +83,11 @@ def staying_sets(rows: DataFrame, units: DataFrame) -> DataFrame:
     alone = first.groupBy("h").agg(F.min("unit").alias("unit"), F.max("unit").alias("other")).where("unit = other").groupBy("unit").agg(F.count("*").alias("alone"))
     shared = f"{MISSING} + {EXTRA.format(n='n')} - coalesce(alone, 0)"
     staying = store(units.join(alone, "unit", "left").where(f"{shared} >= {EXTRA.format(n='((4 * n + 4) div 5)')}").select("unit"), "staying")
-    return rows.join(staying, "unit", "left_semi").groupBy("unit").agg(F.first("n").alias("n"), F.first("hs").alias("hs"))
+    # Sets are large, so a runtime Bloom filter of the units (Spark bounds its size) drops most before they move; the
+    # condition, which holds for all, tells Spark that the list is worth a filter.
+    staying = staying.where(f"unit >= {-(2**63) + 1}")
+    with settings(rows.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
+        return store(rows.join(staying, "unit", "left_semi").groupBy("unit").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "staying-sets")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -119,9 +126,11 @@ def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS,
         return store(prefix.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "placed")
 
     placed = located()
+    left = math.inf
     for k in range(rounds):
         own = placed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        if (own.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0) <= most * rows:
+        before, left = left, own.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        if left <= most * rows or left > before / 2:
             break
         draw = F.struct(F.xxhash64(F.lit(k), "unit"), "unit", "root", "n")
         centre = placed.groupBy("h").agg(F.min(draw).alias("c")).select("h", F.col("c.unit").alias("c"), F.col("c.root").alias("c_root"), F.col("c.n").alias("c_n"))
@@ -150,7 +159,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = store(shingle_sets(docs, key, text, shingle), "sets")
     ids = store(rows.select("id", "unit", "n", "fp"), "ids")
     units = store(ids.groupBy("unit").agg(F.first("n").alias("n"), F.min("id").alias("first_id"), F.min("fp").alias("fp")), "units")
-    sets = store(staying_sets(rows, units), "staying-sets")
+    sets = staying_sets(rows, units)
     drop_stored(rows)
     roots = connected_components(union(links(sets, fingerprint_pairs(units, sets, max_bits), **options)))
     named = store(units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")), "named")

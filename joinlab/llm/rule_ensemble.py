@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlab.llm.common import drop_stored, small_batches, store, table, whole_text
+from joinlab.llm.common import drop_stored, small_batches, store, table
 
 STATS = (
     "n_bytes", "n_words", "mean_word", "distinct_words", "top_word", "repeat_next", "distinct_lines", "words_a_line",
@@ -63,13 +63,16 @@ def stats_of(raw: bytes) -> tuple[float, ...]:
 def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", **carried) -> DataFrame:
     """One row per document: the key, STATS as doubles, and ``carried`` columns (name and expression) as they are."""
     kind, more = docs.schema[key].dataType.simpleString(), list(carried)
+    carried_text = f"d{docs.columns.index(text)}" in more  # then it need not travel twice
+    at = 1 + (docs.columns.index(text) if carried_text else 0)
 
     def run(batches):
         for b in batches:
-            rows = np.array([stats_of(v.as_py().encode()) for v in b.column(1)], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS))), *b.columns[2:]], names=["key", *STATS, *more])
+            rows = np.array([stats_of((v.as_py() or "").encode()) for v in b.column(at)], np.float64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS))), *b.columns[len(b.columns) - len(more) :]], names=["key", *STATS, *more])
 
-    rows_ = docs.select(F.col(key).alias("key"), whole_text(text).alias("t"), *(c.alias(n) for n, c in carried.items()))
+    texts = [] if carried_text else [F.col(text).alias("t")]
+    rows_ = docs.select(F.col(key).alias("key"), *texts, *(c.alias(n) for n, c in carried.items()))
     schema = ", ".join([f"key {kind}", *(f"{s} double" for s in STATS), *(f"{n} {rows_.schema[n].dataType.simpleString()}" for n in carried)])
     return rows_.mapInArrow(run, schema)
 
@@ -208,15 +211,28 @@ def train(stats: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Ru
     return fit(data[:, 1:], data[:, 0])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **carried) -> DataFrame:
-    """One row per document: key, held_out, score, predicted, and ``carried`` columns."""
+def _scored(stats: DataFrame, labels: DataFrame, *kept: str) -> DataFrame:
+    """stats: key, STATS and ``kept``. key, held_out, score and ``kept``."""
+    return stats.select("key", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), train(stats, labels).column().alias("score"), *kept)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    stats = store(text_stats(docs, key, text, **carried), "stats")
-    model = train(stats, labels)
+    stats = store(text_stats(docs, key, text), "stats")
     # Stored, so that the rules are compiled and run once and never copied into what is asked of the scores.
-    scores = store(stats.select("key", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), model.column().alias("score"), *carried), "scores")
+    scores = store(_scored(stats, labels), "scores")
     drop_stored(stats)
-    return scores.select(F.col("key").alias(key), "held_out", "score", F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias("predicted"), *carried)
+    return scores.select(F.col("key").alias(key), "held_out", "score", F.when(F.col("score") >= CUTOFF, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are predicted 1, with their columns. The verdict travels in the row, whatever its id."""
+    small_batches(docs.sparkSession)
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    stats = store(text_stats(docs, key, text, **{n: F.col(f"`{c}`") for n, c in zip(names, docs.columns, strict=True)}), "stats")
+    scores = _scored(stats, labels, *names).where(F.col("score") >= CUTOFF)
+    return scores.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
