@@ -5,7 +5,7 @@ Documents with the same set of shingles are one unit. With its shingles in the o
 least the smaller ``extra`` are common; a partner has 0.8 n shingles or more, so a unit that shares fewer than
 ``extra(ceil(0.8 n))`` of them has no partner and goes. Over the units that stay, shingles are ordered by how many
 units hold them, rare ones first; two units that meet the threshold share one of the first
-``n - ceil(0.8 n) + 1`` shingles (the prefix), and as many of them as ``LEAST_SHARED`` says. Candidates are verified on whole sets, in whole numbers:
+``n - ceil(0.8 n) + 1`` shingles (the prefix). Size, positional and bitmap filters follow; candidates are verified on whole sets, in whole numbers:
 9 |A and B| >= 4 (|A| + |B|) is Jaccard >= 4 / 5.
 
 Links that SimHash finds (``simhash.links``: vantage-point trees over fingerprints of the same shingles) are verified on
@@ -36,15 +36,17 @@ from joinlab.llm.simhash import _LOWER, majority
 from joinlab.llm.simhash import links as tree_links
 
 SHINGLE = 5
-#: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once. Rounds also end when one
-#: leaves more than half of the pairs: those are then of documents that share passages and are not similar.
+#: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once. After two,
+#: rounds also end when one leaves more than half of the pairs: those documents share passages and are not similar.
 ROUNDS, PAIRS = 6, 16
 #: Shingles that a set of n may miss in a partner, and those of the first filter beyond them.
 MISSING, EXTRA = "(n - (4 * n + 4) div 5)", "(1 + {n} div 20)"
 
-#: Prefix shingles that two sets of n and b_n must share: up to the end of the prefix that ends first, all shared ones are
-#: in both prefixes, and beyond it that set has its other ceil(0.8 n) - 1 shingles at most.
-LEAST_SHARED = "(4 * (n + b_n) + 8) div 9 - greatest((4 * n + 4) div 5, (4 * b_n + 4) div 5) + 1"
+#: The bitmap of a set: a bit for each value of the low bits of a hash, flipped by every shingle that has it. Two sets
+#: differ in at least as many shingles as their bitmaps in bits.
+MAP, MAP_BITS = tuple(f"m{k}" for k in range(8)), 512
+#: Shingles that two sets of n and b_n must share.
+SHARE = "((4 * (n + b_n) + 8) div 9)"
 
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -59,7 +61,7 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, unit (a hash of the set), n, the fingerprint fp and the sorted set itself as hs."""
+    """id, unit (a hash of the set), n, the fingerprint fp, the bitmap (MAP) and the sorted set itself as hs."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -71,14 +73,15 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
             unit = np.maximum(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), 1 - 2**63)
             n = np.array([len(s) for s in sets], np.int32)
+            bits = np.packbits(np.stack([np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1 for s in sets]).astype(np.uint8), axis=1).view(np.int64)
             hs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit), pa.array(n), pa.array(fp), hs], names=["id", "unit", "n", "fp", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit), pa.array(n), pa.array(fp), *(pa.array(bits[:, k].copy()) for k in range(len(MAP))), hs], names=["id", "unit", "n", "fp", *MAP, "hs"])
 
-    return docs.select(F.col(key).alias("id"), whole_text(text).alias("t")).mapInArrow(run, f"id {kind}, unit long, n int, fp long, hs array<long>")
+    return docs.select(F.col(key).alias("id"), whole_text(text).alias("t")).mapInArrow(run, f"id {kind}, unit long, n int, fp long, {', '.join(f'{m} long' for m in MAP)}, hs array<long>")
 
 
 def staying_sets(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """unit, n, hs of the units that the first filter leaves."""
+    """unit, n, the bitmap and hs of the units that the first filter leaves."""
     first = rows.select("unit", F.explode(F.expr(f"slice(hs, 1, cast({MISSING} + {EXTRA.format(n='n')} AS int))")).alias("h"))
     alone = first.groupBy("h").agg(F.min("unit").alias("unit"), F.max("unit").alias("other")).where("unit = other").groupBy("unit").agg(F.count("*").alias("alone"))
     shared = f"{MISSING} + {EXTRA.format(n='n')} - coalesce(alone, 0)"
@@ -87,15 +90,16 @@ def staying_sets(rows: DataFrame, units: DataFrame) -> DataFrame:
     # condition, which holds for all, tells Spark that the list is worth a filter.
     staying = staying.where(f"unit >= {-(2**63) + 1}")
     with settings(rows.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
-        return store(rows.join(staying, "unit", "left_semi").groupBy("unit").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "staying-sets")
+        return store(rows.join(staying, "unit", "left_semi").groupBy("unit").agg(*(F.first(c).alias(c) for c in ("n", *MAP, "hs"))), "staying-sets")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """h, unit, n: the shingles of each unit's prefix that another unit holds too."""
+    """h, unit, n, at (its place in the unit's order) and the bitmap: the shingles of each unit's prefix that another
+    unit holds too."""
     rows = sets.select("unit", "n", F.explode("hs").alias("h"))
     held = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
     ranked = held.withColumn("at", F.row_number().over(W.partitionBy("unit").orderBy("df", "h")))
-    return ranked.where(f"at <= {MISSING} + 1 AND df > 1").select("h", "unit", "n")
+    return ranked.where(f"at <= {MISSING} + 1 AND df > 1").select("h", "unit", "n", "at").join(sets.select("unit", *MAP), "unit")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def fingerprint_pairs(units: DataFrame, sets: DataFrame, max_bits: int) -> DataF
 
 
 def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS, most: int = PAIRS) -> list[DataFrame]:
-    """sets: unit (distinct), n, hs; known: verified pairs. Tables of pairs a, b that together span every component."""
+    """sets: unit (distinct), n, the bitmap, hs; known: verified pairs. Tables of pairs a, b that together span every component."""
     prefix, found = store(prefixes(sets), "prefix"), [] if known is None else [known]
     rows = prefix.count()
 
@@ -130,7 +134,7 @@ def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS,
     for k in range(rounds):
         own = placed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         before, left = left, own.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if left <= most * rows or left > before / 2:
+        if left <= most * rows or k > 1 and left > before / 2:
             break
         draw = F.struct(F.xxhash64(F.lit(k), "unit"), "unit", "root", "n")
         centre = placed.groupBy("h").agg(F.min(draw).alias("c")).select("h", F.col("c.unit").alias("c"), F.col("c.root").alias("c_root"), F.col("c.n").alias("c_n"))
@@ -140,10 +144,12 @@ def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS,
         pairs = pairs.select(F.least("unit", "best.c").alias("a"), F.greatest("unit", "best.c").alias("b")).distinct()
         found.append(store(verified(pairs, sets), "links"))
         placed = located()
-    other = placed.select("h", F.col("unit").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    pairs = placed.join(other, "h").where("unit < b AND root <> b_root AND 5 * least(n, b_n) >= 4 * greatest(n, b_n)")
-    shared = pairs.groupBy(F.col("unit").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("b_n").alias("b_n"))
-    return [*found, store(verified(shared.where(f"k >= {LEAST_SHARED}").select("a", "b"), sets), "links")]
+    other = placed.select("h", *(F.col(c).alias(f"b_{c}") for c in ("unit", "n", "root", "at", *MAP)))
+    apart = " + ".join(f"bit_count({m} ^ b_{m})" for m in MAP)
+    # The size filter, the positional filter (what can be shared from this place on), the bitmap filter.
+    fits = f"5 * least(n, b_n) >= 4 * greatest(n, b_n) AND least(n - at, b_n - b_at) + 1 >= {SHARE} AND {apart} <= n + b_n - 2 * {SHARE}"
+    pairs = placed.join(other, "h").where(f"unit < b_unit AND root <> b_root AND {fits}")
+    return [*found, store(verified(pairs.select(F.col("unit").alias("a"), F.col("b_unit").alias("b")).distinct(), sets), "links")]
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
