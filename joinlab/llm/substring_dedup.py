@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlab.llm.common import drop_stored, partitions, settings, small_batches, store, table, whole_text
-from joinlab.llm.windows import anchors, window_hashes, word_hashes
+from joinlab.llm.windows import anchors, other_hashes, window_hashes, word_hashes
 
 WINDOW, GROUP = 13, 6
 
@@ -106,11 +106,10 @@ def postings_of(docs: DataFrame, window: int, group: int) -> DataFrame:
     return docs.mapInArrow(run, f"fp long, id {docs.schema['id'].dataType.simpleString()}")
 
 
-def _keys(h: np.ndarray, a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two keys of every window: the first of its anchor and first hash, the second its other hash."""
-    one, two = window_hashes(h, window)
-    x = (a * np.uint64(0xD6E8FEB86659FD93)) ^ one
-    return x ^ (x >> np.uint64(31)), two
+def _key(h: np.ndarray, a: np.ndarray, window: int) -> np.ndarray:
+    """The first key of every window, of its anchor and its first hash."""
+    x = (a * np.uint64(0xD6E8FEB86659FD93)) ^ window_hashes(h, window)
+    return x ^ (x >> np.uint64(31))
 
 
 def repeated_windows(candidates: DataFrame, window: int, group: int) -> DataFrame:
@@ -124,9 +123,7 @@ def repeated_windows(candidates: DataFrame, window: int, group: int) -> DataFram
                 h = word_hashes(t.as_py().encode().split())
                 a = anchors(h, window, group)
                 on = np.isin(a, fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                key, other = _keys(h, a, window)
-                key, first = np.unique(key[on], return_index=True)
-                keys.append((key, other[on][first]))
+                keys.append((_key(h, a, window)[on], other_hashes(h, window)[on]))
             at = np.repeat(np.arange(len(keys)), np.fromiter((len(k) for k, _ in keys), np.int64, len(keys)))
             both = [np.concatenate(x).view(np.int64) if len(keys) else np.zeros(0, np.int64) for x in (zip(*keys, strict=True) if keys else ((), ()))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, both), b.column(0).take(pa.array(at))], names=["key", "other", "id"])
@@ -171,7 +168,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
                 drop = np.zeros(len(words) + 1, np.int64)
                 if keys.is_valid and len(words) >= window:
                     h = word_hashes(words)
-                    on = np.flatnonzero(np.isin(_keys(h, anchors(h, window, group), window)[0], keys.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                    on = np.flatnonzero(np.isin(_key(h, anchors(h, window, group), window), keys.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                     drop[on] += 1
                     drop[on + window] -= 1
                 stay = np.cumsum(drop)[:-1] == 0

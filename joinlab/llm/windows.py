@@ -58,7 +58,11 @@ def anchors(h: np.ndarray, window: int, group: int) -> np.ndarray:
     return sliding_min(group_hashes(h, group, 0), window - group + 1)
 
 
-def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window; the second is over other hashes of the words, so that no sum agrees in both by rule."""
+def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
+    return group_hashes(h, window, 32)
+
+
+def other_hashes(h: np.ndarray, window: int) -> np.ndarray:
+    """Second hashes of the windows, over other hashes of the words, so that no sum agrees in both by rule."""
     other = (h ^ (h >> _U(31))) * _U(0xD6E8FEB86659FD93)
-    return group_hashes(h, window, 32), group_hashes(other ^ (other >> _U(29)), window, 17)
+    return group_hashes(other ^ (other >> _U(29)), window, 17)
