@@ -106,6 +106,12 @@ def postings_of(docs: DataFrame, window: int, group: int) -> DataFrame:
     return docs.mapInArrow(run, f"fp long, id {docs.schema['id'].dataType.simpleString()}")
 
 
+def _among(x: np.ndarray, few: pa.Scalar) -> np.ndarray:
+    """Which values stand in an Arrow list of signed longs; the list is short, so only it is sorted."""
+    own = np.sort(few.values.to_numpy(zero_copy_only=False).view(np.uint64))
+    return own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x if len(own) else np.zeros(len(x), bool)
+
+
 def _key(h: np.ndarray, a: np.ndarray, window: int) -> np.ndarray:
     """The first key of every window, of its anchor and its first hash."""
     x = (a * np.uint64(0xD6E8FEB86659FD93)) ^ window_hashes(h, window)
@@ -122,7 +128,7 @@ def repeated_windows(candidates: DataFrame, window: int, group: int) -> DataFram
             for t, fps in zip(b.column(1), b.column(2), strict=True):
                 h = word_hashes(t.as_py().encode().split())
                 a = anchors(h, window, group)
-                on = np.isin(a, fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                on = _among(a, fps)
                 keys.append((_key(h, a, window)[on], other_hashes(h, window)[on]))
             at = np.repeat(np.arange(len(keys)), np.fromiter((len(k) for k, _ in keys), np.int64, len(keys)))
             both = [np.concatenate(x).view(np.int64) if len(keys) else np.zeros(0, np.int64) for x in (zip(*keys, strict=True) if keys else ((), ()))]
@@ -168,7 +174,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
                 drop = np.zeros(len(words) + 1, np.int64)
                 if keys.is_valid and len(words) >= window:
                     h = word_hashes(words)
-                    on = np.flatnonzero(np.isin(_key(h, anchors(h, window, group), window), keys.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                    on = np.flatnonzero(_among(_key(h, anchors(h, window, group), window), keys))
                     drop[on] += 1
                     drop[on + window] -= 1
                 stay = np.cumsum(drop)[:-1] == 0
