@@ -95,7 +95,7 @@ def postings_of(docs: DataFrame, window: int, group: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fps = [np.unique(anchors(word_hashes(v.as_py().encode().split()), window, group)) for v in b.column(1)]
+            fps = [np.unique(anchors(word_hashes(v.as_py().encode()), window, group)) for v in b.column(1)]
             n = np.fromiter(map(len, fps), np.int64, len(fps))
             at = np.repeat(np.arange(len(fps)), n)
             fp = np.concatenate(fps).view(np.int64) if len(fps) else np.zeros(0, np.int64)
@@ -126,7 +126,7 @@ def repeated_windows(candidates: DataFrame, window: int, group: int) -> DataFram
         for b in batches:
             keys = []
             for t, fps in zip(b.column(1), b.column(2), strict=True):
-                h = word_hashes(t.as_py().encode().split())
+                h = word_hashes(t.as_py().encode())
                 a = anchors(h, window, group)
                 on = _among(a, fps)
                 keys.append((_key(h, a, window)[on], other_hashes(h, window)[on]))
@@ -170,10 +170,11 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         for b in batches_:
             n, cut, kept = [], [], []
             for t, keys in zip(b.column(1), b.column(2), strict=True):
-                words = t.as_py().encode().split()
+                raw = t.as_py().encode()
+                words = raw.split()
                 drop = np.zeros(len(words) + 1, np.int64)
                 if keys.is_valid and len(words) >= window:
-                    h = word_hashes(words)
+                    h = word_hashes(raw)
                     on = np.flatnonzero(_among(_key(h, anchors(h, window, group), window), keys))
                     drop[on] += 1
                     drop[on + window] -= 1
