@@ -1,4 +1,7 @@
-"""Connected components by repeated contraction; every step is a DataFrame join and is stored."""
+"""Connected components by repeated contraction; every step is a DataFrame join and is stored.
+
+Edges shrink with every round. Once ``TOGETHER`` of them or fewer are left, a round is one task without a shuffle;
+more edges go over all partitions. Rounds and results are the same."""
 
 from __future__ import annotations
 
@@ -9,8 +12,11 @@ from pyspark.sql import functions as F
 
 from joinlab.llm.common import store
 
+#: Edges up to which a round is one task: two longs each, some 10 MB in memory.
+TOGETHER = 1 << 18
+
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", together: int = TOGETHER) -> DataFrame:
     """edges: two long columns. Returns node, root: nodes with an edge, equal roots for connected ones.
 
     In each round every node moves to the neighbour (or itself) with the smallest hash drawn for that
@@ -19,13 +25,18 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     edges = store(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b").distinct(), "edges")
     moves = []
     for k in itertools.count():
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             break
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        # One partition on each side of a join or an aggregate needs no shuffle.
+        gather = n <= together
+        edges = edges.coalesce(1) if gather else edges
+        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))))
         draw = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)), F.col(c).alias("id"))
         move = both.groupBy("node").agg(F.min(draw("near")).alias("near")).select("node", F.least(draw("node"), "near")["id"].alias("to"))
         move = store(move, "moves")
         moves.append(move)
+        move = move.coalesce(1) if gather else move
         a, b = move.select(F.col("node").alias("a"), F.col("to").alias("a2")), move.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         new = edges.join(a, "a").join(b, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b")
         edges = store(new.distinct(), "edges")

@@ -249,10 +249,11 @@ def test_op7_tree_finds_all_links():
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 100 != 99] + [(5, 5)], "a long, b long")
-    groups = defaultdict(set)
-    for r in components.connected_components(edges).collect():
-        groups[r.root].add(r.node)
-    assert sorted(map(len, groups.values())) == [100, 100, 100]
+    for together in (0, 40, components.TOGETHER):
+        groups = defaultdict(set)
+        for r in components.connected_components(edges, together=together).collect():
+            groups[r.root].add(r.node)
+        assert sorted(map(len, groups.values())) == [100, 100, 100]
 
 
 def test_op8_urls(spark):
