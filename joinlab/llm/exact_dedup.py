@@ -82,7 +82,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", incomi
     salt = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).alias("salt")
     texts = docs.select(F.col(key).alias("id"), whole_text(text).alias("body"), salt).withColumn("digest", F.unhex(F.sha2("body", 256)))
     dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    with settings(docs.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="32m"):  # hashed up to this size, else sorted
+    # Hashed up to this size, else sorted; never broadcast, so that the plan of a small table is that of a large one.
+    plan = {"spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold": "32m", "spark__sql__autoBroadcastJoinThreshold": "-1"}
+    with settings(docs.sparkSession, **plan):
         part = store(texts.join(dealt, ["digest", "salt"]).groupBy("digest", "salt", "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")), "parts")
     same = part.groupBy("digest", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # Stored, so that the join below has an exchange on both sides and a hot digest can be split.

@@ -141,6 +141,20 @@ def test_op4_exact_dedup(docs, empty, spark):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_op4_texts_meet_in_one_plan_at_any_size(docs, spark, monkeypatch):
+    plans, stored = {}, exact_dedup.store
+
+    def store(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(exact_dedup, "store", store)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    exact_dedup.exact_dedup(docs)
+    assert "Join" in plans["parts"] and "Broadcast" not in plans["parts"]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 def test_binary_fuse():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 10, 1000, 50_000):
