@@ -11,9 +11,9 @@ units hold them, rare ones first; two units that meet the threshold share one of
 Links that SimHash finds (``simhash.links``: vantage-point trees over fingerprints of the same shingles) are verified on
 the sets first, so most near copies are one component before the join begins.
 
-Only components are wanted, so groups that share a prefix shingle meet one centre first, for some rounds with other
-centres while the pairs left are many; pairs across components are then verified all, so the result is exact up to a
-collision of 64-bit hashes.
+Only components are wanted, so groups that share a prefix shingle meet some of their own as centres first, for some
+rounds with other centres while the pairs left are many (a round's rows grow as the prefixes, not as their squares);
+pairs across components are then verified all, so the result is exact up to a collision of 64-bit hashes.
 
 Defined results: null texts count as empty; texts without words are near duplicates of each other; null ids are ignored
 when the smallest id is sought; repeated rows are all reported; an empty table gives an empty result.
@@ -36,9 +36,9 @@ from joinlab.llm.simhash import _LOWER, majority
 from joinlab.llm.simhash import links as tree_links
 
 SHINGLE = 5
-#: Rounds of centres at most, and pairs a prefix row up to which all pairs are verified at once. After two,
-#: rounds also end when one leaves more than half of the pairs: those documents share passages and are not similar.
-ROUNDS, PAIRS = 6, 16
+#: Rounds of centres at most, and centres of a group. The first round comes with more than one pair a prefix row, others
+#: with more than ``PAIRS``, unless one left more than half of the pairs: those documents share passages and are not similar.
+ROUNDS, CENTRES, PAIRS = 6, 16, 16
 #: Shingles that a set of n may miss in a partner, and those of the first filter beyond them.
 MISSING, EXTRA = "(n - (4 * n + 4) div 5)", "(1 + {n} div 20)"
 
@@ -125,31 +125,30 @@ def links(sets: DataFrame, known: DataFrame | None = None, rounds: int = ROUNDS,
 
     def located() -> DataFrame:
         if not found:
-            return prefix.withColumn("root", F.col("unit"))
+            return store(prefix.withColumn("root", F.col("unit")), "placed")
         roots = connected_components(union(found)).withColumnRenamed("node", "unit")
         return store(prefix.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit")), "placed")
 
-    placed = located()
-    left = math.inf
+    # The size filter, the positional filter (what can be shared from this place on), the bitmap filter.
+    apart = " + ".join(f"bit_count({m} ^ b_{m})" for m in MAP)
+    fits = f"5 * least(n, b_n) >= 4 * greatest(n, b_n) AND least(n - at, b_n - b_at) + 1 >= {SHARE} AND {apart} <= n + b_n - 2 * {SHARE}"
+    other = lambda df: df.select("h", *(F.col(c).alias(f"b_{c}") for c in ("unit", "n", "root", "at", *MAP)))
+    placed, left = located(), math.inf
     for k in range(rounds):
         own = placed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         before, left = left, own.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if left <= most * rows or k > 1 and left > before / 2:
+        if left <= (most if k else min(most, 1)) * rows or left > before / 2:
             break
-        draw = F.struct(F.xxhash64(F.lit(k), "unit"), "unit", "root", "n")
-        centre = placed.groupBy("h").agg(F.min(draw).alias("c")).select("h", F.col("c.unit").alias("c"), F.col("c.root").alias("c_root"), F.col("c.n").alias("c_n"))
-        pairs = placed.join(centre, "h").where("root <> c_root AND 5 * least(n, c_n) >= 4 * greatest(n, c_n)")
-        # A round only saves work, so a unit tries one centre, the one that it shares most with.
-        pairs = pairs.groupBy("unit", "c").agg(F.count("*").alias("k")).groupBy("unit").agg(F.max(F.struct("k", "c")).alias("best"))
-        pairs = pairs.select(F.least("unit", "best.c").alias("a"), F.greatest("unit", "best.c").alias("b")).distinct()
-        found.append(store(verified(pairs, sets), "links"))
+        drawn = F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64(F.lit(k), "unit"), "unit"))
+        centres = other(placed.withColumn("drawn", drawn).where(f"drawn <= {CENTRES}"))
+        pairs = placed.join(centres, "h").where(f"root <> b_root AND {fits}")
+        found.append(store(verified(pairs.select(F.least("unit", "b_unit").alias("a"), F.greatest("unit", "b_unit").alias("b")).distinct(), sets), "links"))
+        drop_stored(placed)
         placed = located()
-    other = placed.select("h", *(F.col(c).alias(f"b_{c}") for c in ("unit", "n", "root", "at", *MAP)))
-    apart = " + ".join(f"bit_count({m} ^ b_{m})" for m in MAP)
-    # The size filter, the positional filter (what can be shared from this place on), the bitmap filter.
-    fits = f"5 * least(n, b_n) >= 4 * greatest(n, b_n) AND least(n - at, b_n - b_at) + 1 >= {SHARE} AND {apart} <= n + b_n - 2 * {SHARE}"
-    pairs = placed.join(other, "h").where(f"unit < b_unit AND root <> b_root AND {fits}")
-    return [*found, store(verified(pairs.select(F.col("unit").alias("a"), F.col("b_unit").alias("b")).distinct(), sets), "links")]
+    pairs = placed.join(other(placed), "h").where(f"unit < b_unit AND root <> b_root AND {fits}")
+    found.append(store(verified(pairs.select(F.col("unit").alias("a"), F.col("b_unit").alias("b")).distinct(), sets), "links"))
+    drop_stored(prefix, placed)
+    return found
 
 
 def union(tables: list[DataFrame]) -> DataFrame:

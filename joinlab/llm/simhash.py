@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from joinlab.llm.common import small_batches, store, table, whole_text
 from joinlab.llm.components import connected_components
+from joinlab.llm.components import roots as _roots
 
 BITS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,21 +78,6 @@ def _distance(a, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component, by hooking and pointer jumping."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        open_ = low != high
-        if not open_.any():
-            break
-        a, b = a[open_], b[open_]
-        np.minimum.at(root, high[open_], low[open_])
-        while not np.array_equal(up := root[root], root):
-            root = up
-    return root
-
-
 def _cross(fp: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, out: list, size: int = 512) -> None:
     """All links between index sets a and b (the same set: each pair once), compared in blocks."""
     same = a is b

@@ -270,6 +270,13 @@ def test_components_of_a_chain(spark):
         assert sorted(map(len, groups.values())) == [100, 100, 100]
 
 
+def test_few_edges_end_in_one_task(spark, monkeypatch):
+    labels, stored = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, label: labels.append(label) or stored(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.root for r in components.connected_components(edges).collect()} == {0} and labels == ["edges", "moves"]
+
+
 def test_op8_urls(spark):
     urls = [None, "", "no scheme", "http://", "https://Example.COM/en/7?x", "http://a.example.com/en/6", "http://com/en/", "http://xcom/en/", "http://a.net/de/8", "http://m.example.net/de/81#t",
             "http://a.org/es", "http://a.org?/es/", "x://y://z/es/", "http://a.org/es/", "http://notexample.com/en/7"]

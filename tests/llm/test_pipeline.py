@@ -107,6 +107,22 @@ def test_near_groups(spark):
     assert near_jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_leaves_few_pairs_to_the_last_join(spark, monkeypatch):
+    rng = random.Random(6)
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(150)], []
+    for k in range(24):
+        copy = base[:]
+        copy[rng.randrange(150)] = f"new{k}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = common.store(near_jaccard.shingle_sets(docs).drop("id", "fp"), "sets")
+    counts, verified = [], near_jaccard.verified
+    monkeypatch.setattr(near_jaccard, "verified", lambda pairs, sets: counts.append(pairs.count()) or verified(pairs, sets))
+    roots = near_jaccard.connected_components(near_jaccard.union(near_jaccard.links(sets))).collect()
+    assert len(roots) == 24 and len({r.root for r in roots}) == 1
+    assert len(counts) > 1 and counts[-1] == 0  # all 276 pairs met in the last join
+
+
 def test_mix_takes_rows_that_share_an_id_by_themselves(spark):
     text = lambda k: " ".join(f"w{k}x{j}" for j in range(5 + k % 7))
     table = [(k if k < 20 else None if k < 40 else 7, text(k), "en", "ab"[k % 2], k) for k in range(60)] + [(5, text(3), "en", "a", 1)] * 3
