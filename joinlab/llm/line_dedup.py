@@ -1,20 +1,21 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
 
-1. Rarity. A line's tokens are its distinct words, lower-cased. Words hash to 64 bits; the low bits name a bucket, and
-   the words of each bucket are counted over all lines (``bucket_ranks``: a byte a bucket, as many buckets as the text
-   asks for, ``MOST_BUCKETS`` at most). A token's key is its bucket's rank before 57 bits of its hash, so keys order all
-   tokens rare first, in one global order.
+1. Keys. A line's tokens are its distinct words, lower-cased. A token's key is its length in bytes, long ones first
+   (``LONGEST`` and more count alike), before 58 bits of its hash: one global order of all tokens that mostly puts rare
+   ones first and needs no pass over the text to count them.
 2. Equal sets. Lines with equal keys (two 64-bit hashes over them) collapse to the first place, by id and line number.
-3. Prefix. A set of n tokens gives its first ``n - ceil(t n) + 1`` ones; sets that share one are candidates if they
-   pass the length filter, the positional filter and a bitmap filter (one bit a token, flipped: two sets differ in at
-   least as many tokens as their bitmaps in bits). A token that is alone in its bucket stands in no other line and is
-   left out. A token whose bucket is ``COMMON`` would pair too many sets: as similar sets share two of the first
-   ``n - ceil(t n) + 2`` tokens, it is joined together with each token after it. Sets of up to three tokens have no
-   similar sets but equal ones and stay out of the join.
-4. Leaders. Where ``LED`` sets or more share a token, each is first compared with the earliest of them alone. One
-   earlier similar line is enough to remove a line, so those that are similar to it are settled; the others then look
-   for partners among all sets. A large group of near copies costs as many comparisons as it has members.
-5. Verification. The words of candidate lines are read again from the text at their places and compared themselves.
+3. Prefix. Sets of n and m tokens with ``o`` in common differ in ``d = n + m - 2 o`` tokens. Each of those lies in one
+   gap between common tokens, so among the first ``d + 2`` common ones two neighbours have nothing between them and
+   stand side by side in both sets; in the set of n they are among the first ``d + 2 + n - o``, at most
+   ``floor(2 (1 - t) n) + 2``. So each set gives the twos of neighbours in a prefix of that length (a hash of 40 bits
+   for each); sets that share one are candidates if they pass the length filter, the positional filter and a bitmap
+   filter (one bit a token, flipped: two sets differ in at least as many tokens as their bitmaps in bits). Twos of rare
+   words seldom meet by chance, so groups stay small. Sets of up to three tokens have no similar sets but equal ones
+   and stay out of the join. The join runs in ``SHARES`` shares of the twos, so that its shuffle takes less disk.
+4. Leaders. Sets that share one of their ``LED`` smallest twos are each first compared with the earliest of them alone.
+   One earlier similar line is enough to remove a line, so those that are similar to it are settled; the others then
+   look for partners among all sets. A large group of near copies costs as many comparisons as it has members.
+5. Verification. The candidate lines are read again from the text at their places and their words compared.
 
 A line is removed if an earlier line (by id, then line number) has similarity ``t`` or more, judged on the input, so
 the result does not depend on any order of work. Texts move twice at most: to verify candidates and to be cut.
@@ -27,22 +28,30 @@ cut whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlab.llm.common import drop_stored, settings, store, table, whole_text
 
 SIMILARITY = 0.8
-#: Buckets of words at least and at most, and bytes of text that ask for one more.
-LEAST_BUCKETS, MOST_BUCKETS, TEXT_A_BUCKET = 1 << 16, 1 << 22, 128
-#: Words in a bucket from which its tokens are joined in twos, if that is also eight times the mean.
-COMMON = 1024
-#: Sets that share a token from which they are first compared with the earliest of them alone.
-LED = 4
+#: Bytes of a word from which longer ones are no earlier in the order, and bits of a key below the length.
+LONGEST, LENGTH_AT = 31, 58
+#: Bits of the hash of two neighbours.
+TWOS_BITS = 40
+#: Tokens from which a bitmap has 128 bits instead of 64.
+WIDE = 64
+#: Sets that share one of their leading twos from which they are first compared with the earliest of them alone.
+COMMON = 2
+#: Leading twos: those of a set by which it meets the earliest set that has one of them.
+LED = 3
+#: Parts of the twos that are joined one after another.
+SHARES = 2
 #: Size of a partition up to which a join hashes it instead of sorting both sides.
 HASHED = "32m"
-#: Bits of a key below its rank.
-RANK_AT = 57
+#: Joins of a text or an index with a list never broadcast the list, so small and large tables have one plan.
+SHUFFLED = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
 def _plain(text: F.Column) -> F.Column:
@@ -55,111 +64,119 @@ def _words(line: F.Column) -> F.Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _rank(count: F.Column) -> F.Column:
-    return F.least(F.floor(1.5 * F.log2(F.greatest(count, F.lit(1)))), F.lit(60)).cast("int")
-
-
-def bucket_ranks(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, int]:
-    """One row, ``ranks`` (for each bucket, in the low six bits, its rank by the words in it over all lines) and ``hot``
-    (the rank from which a token is common); and the number of buckets, a power of two."""
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    buckets = 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, size // TEXT_A_BUCKET)).bit_length() - 1
-    words = rows.select(F.explode(F.split(_plain(F.col("t")), "\n")).alias("body")).select(F.explode(F.split("body", " ")).alias("w")).where("w != ''")
-    seen = words.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b"), F.lit(1).cast("long").alias("c"))
-    every = rows.sparkSession.range(buckets).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("c"))
-    counts = seen.unionByName(every).groupBy("b").agg(F.sum("c").alias("c"))
-    # Sorted runs of 128 buckets (seven bits of place before six of rank), joined in two steps: sizes depend on the
-    # number of buckets alone.
-    packed = (F.shiftleft(F.col("b").bitwiseAND(F.lit(127)).cast("int"), 6) + _rank(F.col("c"))).cast("short")
-    runs = counts.groupBy(F.shiftright("b", 7).alias("run")).agg(F.sort_array(F.collect_list(packed)).alias("part"), F.sum("c").alias("c"))
-    joined = lambda: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "part"))), lambda s: s.part))
-    runs = runs.groupBy(F.shiftright("run", 7).alias("far")).agg(joined().alias("part"), F.sum("c").alias("c")).withColumnRenamed("far", "run")
-    hot = _rank(F.greatest(F.lit(common), 8 * F.sum("c") / buckets))
-    return store(runs.agg(joined().alias("ranks"), hot.alias("hot")), "ranks"), buckets
-
-
-def cut_lines(rows: DataFrame, ranks: DataFrame, buckets: int, similarity: float) -> DataFrame:
-    """A row for each line with words: id, line, s1 and s2 (hashes of its set), n, bits, prefix (with one token more
-    than the filter needs). The table of ranks comes as a scalar subquery."""
-    lines = rows.select("id", F.posexplode(F.split(_plain(F.col("t")), "\n")).alias("line", "body")).where("trim(body) != ''")
-    hashes = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
+def _key(word: F.Column) -> F.Column:
+    return F.shiftleft(F.least(F.octet_length(word), F.lit(LONGEST)).cast("long"), LENGTH_AT).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 64 - LENGTH_AT))
 
-    def key(h):
-        rank = F.coalesce(F.get(F.col("ranks"), h.bitwiseAND(F.lit(buckets - 1)).cast("int")), F.lit(0).cast("short")).bitwiseAND(F.lit(63).cast("short"))
-        return F.shiftleft(rank.cast("long"), RANK_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_AT))
 
+def cut_lines(rows: DataFrame, similarity: float) -> DataFrame:
+    """A row for each line with words: id, line, s1 and s2 (hashes of its set), n, bits and more (its bitmap; more is 0
+    up to ``WIDE`` tokens), twos (of its prefix)."""
+    lines = rows.select("id", F.posexplode(F.split(_plain(F.col("t")), "\n")).alias("line", "body")).where("trim(body) != ''")
+    keys = F.array_remove(F.array_distinct(F.transform(F.split("body", " "), _key)), _key(F.lit("")))
+    keyed = lines.select("id", "line", F.sort_array(keys, asc=False).alias("keys"))
     flip = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
-    keyed = lines.withColumn("ranks", ranks.select("ranks").scalar()).select("id", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
-    length = F.when(n > 3, F.least(n - F.ceil(n * similarity - 1e-9).cast("int") + 2, n)).otherwise(0)
-    bits = F.aggregate("keys", F.lit(0).cast("long"), flip)
-    return keyed.select("id", "line", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), bits.alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix"))
-
-
-def token_index(sets: DataFrame, hot: int) -> DataFrame:
-    """sets: id, line, n, bits, prefix. A row for each prefix token, or for each two if the first is common: sig, id, line,
-    n, bits, rest (the most tokens that two sets can share if those joined on are the first ones they share), and other columns."""
-    others = [c for c in sets.columns if c != "prefix"]
-    tokens = sets.where("n > 3").select("*", F.posexplode("prefix").alias("at", "key")).where(F.col("at") < F.size("prefix") - 1)
-    rank = F.shiftrightunsigned("key", RANK_AT)
-    tokens, is_hot = tokens.where(rank > 0), rank >= hot
-    after = F.when(is_hot, F.slice("prefix", F.col("at") + 2, F.size("prefix"))).otherwise(F.array(F.lit(0).cast("long")))
-    tokens = tokens.select(*others, "at", "key", is_hot.alias("hot"), F.posexplode(after).alias("step", "next"))
-    sig = F.when(F.col("hot"), F.xxhash64("key", "next")).otherwise(F.col("key")).alias("sig")
-    rest = (F.col("n") - F.col("at") - F.when(F.col("hot"), F.col("step")).otherwise(0)).alias("rest")
-    return tokens.select(sig, *others, rest)
+    half = lambda k: k.bitwiseAND(F.lit(64)) == 0
+    flipped = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), flip)
+    bits = F.when(n > WIDE, flipped(F.filter("keys", half))).otherwise(flipped("keys"))
+    more = F.when(n > WIDE, flipped(F.filter("keys", lambda k: ~half(k)))).otherwise(F.lit(0).cast("long"))
+    count = F.when(n > 3, F.least(F.floor(n * (2 - 2 * similarity) + 1e-9).cast("int") + 1, n - 1)).otherwise(0)
+    two = lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 64 - TWOS_BITS)
+    twos = F.zip_with(F.slice("keys", F.lit(1), count), F.slice("keys", F.lit(2), count), two)
+    return keyed.select("id", "line", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), bits.alias("bits"), more.alias("more"), twos.alias("twos"))
 
 
-def _pass(similarity: float) -> F.Column:
-    """The filters on an earlier set (columns ending in _e) and a later one (_l)."""
-    share = F.ceil((F.col("n_e") + F.col("n_l")) * (similarity / (1 + similarity)) - 1e-9)
-    length = (F.col("n_e") >= F.col("n_l") * similarity - 1e-9) & (F.col("n_l") >= F.col("n_e") * similarity - 1e-9)
-    bitmap = F.bit_count(F.col("bits_e").bitwiseXOR(F.col("bits_l"))) <= F.col("n_e") + F.col("n_l") - 2 * share
-    return length & bitmap & (F.least("rest_e", "rest_l") >= share) & (F.struct("id_e", "line_e") < F.struct("id_l", "line_l"))
+def _apart() -> F.Column:
+    """Tokens in which two sets differ at least. One of up to ``WIDE`` tokens has 64 bits, so the other's 128 are folded."""
+    bits_e, more_e, bits_l, more_l = (F.col(f"{c}_{x}") for x in "el" for c in ("bits", "more"))
+    both = F.bit_count(bits_e.bitwiseXOR(bits_l)) + F.bit_count(more_e.bitwiseXOR(more_l))
+    folded = F.bit_count(bits_e.bitwiseXOR(more_e).bitwiseXOR(bits_l).bitwiseXOR(more_l))
+    return F.when((F.col("n_e") > WIDE) & (F.col("n_l") > WIDE), both).otherwise(folded)
 
 
-def _side(index: DataFrame, end: str) -> DataFrame:
-    return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in index.columns if c != "sig"))
+def _pass(similarity: float, placed: bool = True) -> F.Column:
+    """The filters on an earlier set (columns ending in _e) and a later one (_l). placed: they share the twos at their
+    places at_e and at_l. If those are the first twos that they share, each gap between common tokens before has a token
+    of one of them alone, so at most a third of the tokens before are common."""
+    n_e, n_l, at_e, at_l = (F.col(f"{c}_{x}") for c in ("n", "at") for x in "el")
+    share = F.ceil((n_e + n_l) * (similarity / (1 + similarity)) - 1e-9)
+    length = (n_e >= n_l * similarity - 1e-9) & (n_l >= n_e * similarity - 1e-9)
+    fits = length & (_apart() <= n_e + n_l - 2 * share) & (F.struct("id_e", "line_e") < F.struct("id_l", "line_l"))
+    return (F.floor((at_e + at_l) / 3) + F.least(n_e - at_e, n_l - at_l) >= share) & fits if placed else fits
 
 
-PAIR = ("id_e", "line_e", "id_l", "line_l")
+SET = ("id", "line", "n", "bits", "more")
+PAIR = ("id_e", "line_e", "id_l", "line_l", "apart")
 
 
-def leader_pairs(index: DataFrame, similarity: float) -> DataFrame:
-    """In groups of ``LED`` rows and more, pairs of the earliest set with each other one: as many as rows, not their square."""
-    large = store(index.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") >= LED).select("sig"), "large")
-    members = store(index.join(large, "sig"), "members")
-    leaders = store(members.groupBy("sig").agg(F.min(F.struct("id", "line", "n", "bits", "rest")).alias("x")).select("sig", "x.*"), "leaders")
-    pairs = store(_side(members, "l").join(_side(leaders, "e"), "sig").where(_pass(similarity)).select(*PAIR).distinct(), "pairs")
-    drop_stored(large, members, leaders)
+def _side(index: DataFrame, end: str) -> DataFrame:
+    return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in index.columns if c != "sig")).hint("merge")
+
+
+def leader_pairs(sets: DataFrame, similarity: float, common: int) -> DataFrame:
+    """``common`` sets or more that share one of their ``LED`` smallest twos: pairs of the earliest with each other one
+    that pass the filters, as many as rows, not their square."""
+    index = sets.select(F.explode(F.slice(F.sort_array(F.array_distinct("twos")), 1, LED)).alias("sig"), *SET)
+    groups = index.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct(*SET)).alias("x"))
+    leaders = store(groups.where(F.col("rows") >= common).select("sig", "x.*"), "leaders")
+    with settings(sets.sparkSession, **SHUFFLED):
+        pairs = _side(index, "l").join(_side(leaders, "e"), "sig").where(_pass(similarity, placed=False))
+        pairs = store(pairs.withColumn("apart", _apart()).select(*PAIR).distinct(), "pairs")
+    drop_stored(leaders)
     return pairs
 
 
-def candidate_pairs(index: DataFrame, similarity: float) -> DataFrame:
-    """index with a column ``open``. Pairs of an open set with an earlier one that pass all filters, each once."""
-    later = _side(index, "l")
-    return store(later.join(_side(index, "e").hint("merge"), "sig").where(F.col("open_l") & _pass(similarity)).select(*PAIR).distinct(), "pairs")
+def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets with a column ``open``. Pairs of an open set with an earlier one that pass all filters, each once."""
+    twos, found = sets.select(F.posexplode("twos").alias("at", "sig"), *SET, "open"), []
+    # One shuffle serves both sides as long as both are the same, so no filter on one side may go below it.
+    is_open = F.coalesce("open_l", "open_e")
+    for k in range(SHARES):
+        part = twos.where(F.col("sig") % SHARES == k)
+        pairs = _side(part, "e").join(_side(part, "l"), "sig").where(_pass(similarity) & is_open)
+        found.append(store(pairs.withColumn("apart", _apart()).select(*PAIR).distinct(), "part"))
+    pairs = store(functools.reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    drop_stored(*found)
+    return pairs
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """id, line: the places that are the later end of a pair whose words have enough similarity."""
+def words_at(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, line, words: the different words of each place in pairs, read from the text, stored."""
     ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"id_{x}").alias("id"), F.col(f"line_{x}").alias("line")) for x in "el"))).alias("p"))
     wanted = store(ends.groupBy(F.col("p.id").alias("at_id")).agg(F.collect_set("p.line").alias("wanted")), "wanted")
     # A document is one row on the side of the lines, so that side hashes well; beyond the threshold Spark sorts.
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("at_id"))).select("id", "wanted", F.split(_plain(F.col("t")), "\n").alias("lines"))
     lines = texts.select("id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("body")))).alias("x"))
     # A repeated id may have texts of fewer lines.
-    with settings(rows.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-        whole = store(lines.where("x.body IS NOT NULL").select("id", "x.line", F.array_distinct(_words(F.col("x.body"))).alias("words")), "words")
-    out = pairs
+    with settings(rows.sparkSession, **SHUFFLED):
+        words = store(lines.where("x.body IS NOT NULL").select("id", "x.line", F.array_distinct(_words(F.col("x.body"))).alias("words")), "words")
+    drop_stored(wanted)
+    return words
+
+
+def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """id, line: the places that are the later end of a pair whose words have enough similarity, stored."""
     for x in "el":
-        end = whole.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("words").alias(f"words_{x}"))
-        out = out.join(end, F.col(f"id_{x}").eqNullSafe(F.col("w_id")) & (F.col(f"line_{x}") == F.col("w_line"))).drop("w_id", "w_line")
-    shared = F.size(F.array_intersect("words_e", "words_l"))
-    enough = shared >= (F.size("words_e") + F.size("words_l") - shared) * similarity - 1e-9
-    with settings(rows.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-        near = store(out.where(enough).select(F.col("id_l").alias("id"), F.col("line_l").alias("line")).distinct(), "near")
-    drop_stored(pairs, wanted, whole)
+        end = words.select(F.col("id").alias("w_id"), F.col("line").alias("w_line"), F.col("words").alias(f"words_{x}"))
+        pairs = pairs.join(end, F.col(f"id_{x}").eqNullSafe(F.col("w_id")) & (F.col(f"line_{x}") == F.col("w_line"))).drop("w_id", "w_line")
+    shared, both = F.size(F.array_intersect("words_e", "words_l")), F.size("words_e") + F.size("words_l")
+    near = pairs.where(shared * (1 + similarity) >= both * similarity - 1e-9)
+    with settings(words.sparkSession, **SHUFFLED):
+        return store(near.select(F.col("id_l").alias("id"), F.col("line_l").alias("line")).distinct(), "near")
+
+
+def near_places(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """id, line: the later ends of pairs with enough similarity. One earlier line is enough, so each later one is compared
+    with its closest candidate (by bitmap) first, and those that it does not settle with all others."""
+    words = words_at(pairs, rows)
+    closest = pairs.groupBy("id_l", "line_l").agg(F.min(F.struct("apart", "id_e", "line_e")).alias("x")).select("id_l", "line_l", "x.*")
+    settled = verified(closest, words, similarity)
+    done = settled.select(F.col("id").alias("d_id"), F.col("line").alias("d_line"))
+    with settings(rows.sparkSession, **SHUFFLED):
+        left = store(pairs.join(done, F.col("id_l").eqNullSafe(F.col("d_id")) & (F.col("line_l") == F.col("d_line")), "left_anti"), "left")
+    others = verified(left, words, similarity)
+    near = store(settled.unionByName(others), "similar")
+    drop_stored(words, settled, left, others)
     return near
 
 
@@ -167,22 +184,27 @@ def similar_lines(rows: DataFrame, similarity: float = SIMILARITY, common: int =
     """rows: id, t. Returns the places (id, line) whose line has a similar earlier one, stored."""
     if not 0.75 < similarity <= 1:
         raise ValueError("similarity must be over 0.75 and at most 1")
-    ranks, buckets = bucket_ranks(rows, common)
-    hot = ranks.select("hot").first()[0]
-    cut = store(cut_lines(rows, ranks, buckets, similarity), "cut")
-    sets = cut.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "prefix")).alias("x"))
+    cut = store(cut_lines(rows, similarity), "cut")
+    sets = cut.groupBy("s1", "s2").agg(F.min(F.struct("id", "line")).alias("place"), F.first(F.struct("n", "bits", "more", "twos")).alias("x"))
     sets = store(sets.select("s1", "s2", "place.*", "x.*"), "sets")
     first = sets.select("s1", "s2", F.struct("id", "line").alias("place"))
-    equal = store(cut.join(first, ["s1", "s2"]).where(F.col("place") < F.struct("id", "line")).select("id", "line"), "equal")
-    drop_stored(cut, ranks)
-    places = sets.select("id", "line", "n", "bits", "prefix")
-    settled = verified(leader_pairs(token_index(places, hot), similarity), rows, similarity)
+    with settings(rows.sparkSession, **SHUFFLED):
+        equal = store(cut.join(first, ["s1", "s2"]).where(F.col("place") < F.struct("id", "line")).select("id", "line"), "equal")
+    drop_stored(cut)
+    led = leader_pairs(sets, similarity, common)
+    words = words_at(led, rows)
+    settled = verified(led, words, similarity)
+    drop_stored(led, words)
     done = settled.select(F.col("id").alias("d_id"), F.col("line").alias("d_line"), F.lit(False).alias("open"))
-    flagged = places.join(done, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("line") == F.col("d_line")), "left")
-    flagged = flagged.select("id", "line", "n", "bits", "prefix", F.coalesce("open", F.lit(True)).alias("open"))
-    near = verified(candidate_pairs(token_index(flagged, hot), similarity), rows, similarity)
+    with settings(rows.sparkSession, **SHUFFLED):
+        flagged = sets.join(done, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("line") == F.col("d_line")), "left")
+        flagged = store(flagged.select(*SET, "twos", F.coalesce("open", F.lit(True)).alias("open")), "flagged")
+    drop_stored(sets)
+    pairs = candidate_pairs(flagged, similarity)
+    drop_stored(flagged)
+    near = near_places(pairs, rows, similarity)
     out = store(equal.unionByName(settled).unionByName(near).distinct(), "similar")
-    drop_stored(sets, equal, settled, near)
+    drop_stored(pairs, equal, settled, near)
     return out
 
 
@@ -192,7 +214,7 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     similar = similar_lines(rows, similarity, common)
     gone = store(similar.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone")), "gone")
     drop_stored(similar)
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("parts", F.split("t", "\n"))
+    out = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("parts", F.split("t", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     out = out.withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("parts", i)), "\n"))

@@ -111,6 +111,58 @@ def test_op2_line_dedup(docs, empty):
     assert line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+def near_lines():
+    """Lines of 4 to 200 words, each with copies that lack, add or change some, in documents of five lines; one group is large."""
+    draw, lines = random.Random(2), []
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.choice([1, 2, 3, 5, 8, 13])))
+    for n in [*range(4, 30), 60, 64, 65, 66, 70, 90, 140, 200]:
+        base = [word() for _ in range(n)]
+        for k in range(40 if n == 20 else 5):
+            line = [w for w in base if draw.random() > 0.02 * (k % 8)]
+            lines.append(line + [word() for _ in range(round(0.02 * n * draw.randrange(8)))])
+            draw.shuffle(lines[-1])
+    draw.shuffle(lines)
+    return [(i, "\n".join(" ".join(x) for x in lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
+
+
+def similar_by_force(docs):
+    sets, gone = [], set()
+    for i, t in docs:
+        for k, line in enumerate(t.split("\n")):
+            s = frozenset(line.split())
+            if any(5 * len(s & o) >= 4 * len(s | o) for o in sets):
+                gone.add((i, k))
+            sets.append(s)
+    return gone
+
+
+def test_op2_near_lines_of_any_length(spark):
+    """With leaders and without them, joined by the twos alone: all similar lines, none else."""
+    docs = near_lines()
+    want = similar_by_force(docs)
+    assert len(want) > 60
+    rows = spark.createDataFrame(docs, "id long, t string")
+    for common in (line_dedup.COMMON, 1 << 30):
+        assert {tuple(r) for r in line_dedup.similar_lines(rows, common=common).collect()} == want
+
+
+def test_op2_small_tables_have_the_plan_of_large_ones(spark, monkeypatch):
+    """No step broadcasts a list that grows with the table, and a group of near copies makes pairs as its members, not their square."""
+    plans, made = {}, {}
+
+    def store(df, label, write=line_dedup.store):
+        out = write(df, label)
+        plans[label], made[label] = df._jdf.queryExecution().executedPlan().toString(), out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "store", store)
+    line = [f"word{k}" for k in range(40)]
+    docs = [(i, " ".join([*line[:i % 40], f"other{i}", *line[i % 40 + 1 :]])) for i in range(300)]
+    similar = line_dedup.similar_lines(spark.createDataFrame(docs, "id long, t string")).count()
+    assert similar == 299 and not [x for x in plans if "Broadcast" in plans[x]]
+    assert made["part"] <= 300 and sum(made.values()) < 300 * 20
+
+
 def test_op3_licenses(docs, empty, spark):
     got = table(license_scan.scan_licenses(docs))
     for i, t in payloads().items():
