@@ -40,8 +40,8 @@ SIMILARITY = 0.8
 LONGEST, LENGTH_AT = 31, 58
 #: Bits of the hash of two neighbours.
 TWOS_BITS = 40
-#: Tokens from which a bitmap has 128 bits instead of 64.
-WIDE = 64
+#: Tokens above which a bitmap has 128 bits instead of 64.
+WIDE = 24
 #: Sets that share one of their leading twos from which they are first compared with the earliest of them alone.
 COMMON = 2
 #: Leading twos: those of a set by which it meets the earliest set that has one of them.
@@ -113,27 +113,35 @@ def _side(index: DataFrame, end: str) -> DataFrame:
     return index.select("sig", *(F.col(c).alias(f"{c}_{end}") for c in index.columns if c != "sig")).hint("merge")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For each later set its closest earlier one, by bitmap."""
+    return pairs.groupBy("id_l", "line_l").agg(F.min(F.struct("apart", "id_e", "line_e")).alias("x")).select("id_l", "line_l", "x.*")
+
+
 def leader_pairs(sets: DataFrame, similarity: float, common: int) -> DataFrame:
-    """``common`` sets or more that share one of their ``LED`` smallest twos: pairs of the earliest with each other one
-    that pass the filters, as many as rows, not their square."""
+    """``common`` sets or more that share one of their ``LED`` smallest twos meet the earliest of them: for each set the
+    closest pair that passes the filters."""
     index = sets.select(F.explode(F.slice(F.sort_array(F.array_distinct("twos")), 1, LED)).alias("sig"), *SET)
     groups = index.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct(*SET)).alias("x"))
     leaders = store(groups.where(F.col("rows") >= common).select("sig", "x.*"), "leaders")
     with settings(sets.sparkSession, **SHUFFLED):
         pairs = _side(index, "l").join(_side(leaders, "e"), "sig").where(_pass(similarity, placed=False))
-        pairs = store(pairs.withColumn("apart", _apart()).select(*PAIR).distinct(), "pairs")
+        pairs = store(_closest(pairs.withColumn("apart", _apart())).select(*PAIR), "pairs")
     drop_stored(leaders)
     return pairs
 
 
 def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """sets with a column ``open``. Pairs of an open set with an earlier one that pass all filters, each once."""
-    twos, found = sets.select(F.posexplode("twos").alias("at", "sig"), *SET, "open"), []
+    twos = sets.select("twos", F.posexplode("twos").alias("at", "sig"), *SET, "open")
+    twos, found = twos.select("at", "sig", F.coalesce(F.get("twos", F.col("at") - 1), F.lit(-1).cast("long")).alias("last"), *SET, "open"), []
+    # Twos that follow shared ones are not the first, and all filters let those pass that let these.
+    starts = (F.col("last_e") != F.col("last_l")) | (F.col("last_e") + F.col("last_l") < 0)
     # One shuffle serves both sides as long as both are the same, so no filter on one side may go below it.
     is_open = F.coalesce("open_l", "open_e")
     for k in range(SHARES):
         part = twos.where(F.col("sig") % SHARES == k)
-        pairs = _side(part, "e").join(_side(part, "l"), "sig").where(_pass(similarity) & is_open)
+        pairs = _side(part, "e").join(_side(part, "l"), "sig").where(starts & _pass(similarity) & is_open)
         found.append(store(pairs.withColumn("apart", _apart()).select(*PAIR).distinct(), "part"))
     pairs = store(functools.reduce(DataFrame.unionByName, found).distinct(), "pairs")
     drop_stored(*found)
@@ -169,8 +177,7 @@ def near_places(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     """id, line: the later ends of pairs with enough similarity. One earlier line is enough, so each later one is compared
     with its closest candidate (by bitmap) first, and those that it does not settle with all others."""
     words = words_at(pairs, rows)
-    closest = pairs.groupBy("id_l", "line_l").agg(F.min(F.struct("apart", "id_e", "line_e")).alias("x")).select("id_l", "line_l", "x.*")
-    settled = verified(closest, words, similarity)
+    settled = verified(_closest(pairs), words, similarity)
     done = settled.select(F.col("id").alias("d_id"), F.col("line").alias("d_line"))
     with settings(rows.sparkSession, **SHUFFLED):
         left = store(pairs.join(done, F.col("id_l").eqNullSafe(F.col("d_id")) & (F.col("line_l") == F.col("d_line")), "left_anti"), "left")
