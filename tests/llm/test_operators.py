@@ -163,6 +163,26 @@ def test_op2_small_tables_have_the_plan_of_large_ones(spark, monkeypatch):
     assert made["part"] <= 300 and sum(made.values()) < 300 * 20
 
 
+def test_op2_a_pair_comes_out_of_the_join_once(spark, monkeypatch):
+    """Lines near each other and not near the earliest of them share many twos and must not come as pairs at each of
+    them. Words of 64 bytes and more are in the order as well."""
+    draw, made = random.Random(5), []
+
+    def store(df, label, write=line_dedup.store):
+        out = write(df, label)
+        made.extend(tuple(r) for r in (out.collect() if label == "part" else []))
+        return out
+
+    monkeypatch.setattr(line_dedup, "store", store)
+    monkeypatch.setattr(type(spark.range(1)), "distinct", lambda df: df)
+    base = ["".join(draw.choices("abcdefgh", k=draw.choice([9, 9, 9, 33, 63, 64, 65, 130]))) for _ in range(60)]
+    near = [[f"x{i}y{k}" if k in places else w for k, w in enumerate(base)] for i in range(60) for places in [draw.sample(range(60), 2)]]
+    docs = list(enumerate(" ".join(x) for x in near))
+    rows = spark.createDataFrame(docs, "id long, t string")
+    assert {tuple(r) for r in line_dedup.similar_lines(rows, common=1 << 30).collect()} == similar_by_force(docs) == {(i, 0) for i in range(1, 60)}
+    assert len(set(made)) == 60 * 59 // 2 and len(made) < 1.2 * len(set(made))
+
+
 def test_op3_licenses(docs, empty, spark):
     got = table(license_scan.scan_licenses(docs))
     for i, t in payloads().items():
